@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, decontaminate, sharding, token_files
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
+    "op3_decontamination": decontaminate.op3_decontamination,
+    "op4_sharding": sharding.op4_sharding,
+    "op7_token_files": token_files.op7_token_files,
 }
 SQL: dict[str, str] = {}
