@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, sharding, token_files
+from . import bpe, decontaminate, jaccard, neighbours, quality, secrets, sharding, token_files
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_sharding": sharding.op4_sharding,
+    "op5_near_vectors": neighbours.op5_near_vectors,
+    "op6_jaccard": jaccard.op6_jaccard,
     "op7_token_files": token_files.op7_token_files,
+    "op8_secrets": secrets.op8_secrets,
+    "op10_quality": quality.op10_quality,
 }
 SQL: dict[str, str] = {}
