@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, settle
 
 WINDOW = 10
 AUTOMATON_BYTES = 48_000_000
@@ -99,18 +99,11 @@ def hit_spans(text: str | None, places: np.ndarray) -> list[dict]:
 
 def find_contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
     """(key, n_words, n_hit, items array<string> sorted, spans array<struct<start,end>> in code points)."""
-    spark = docs.sparkSession
-    found = items.where(F.col(item).isNotNull()).select(F.col(item).cast("string").alias("item"), F.col(items_text(items)).alias("text"))
-    # Windows overlap by all but a word: about ten times the text.
-    volume = found.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-volume * WINDOW // AUTOMATON_BYTES))
+    every_list = _dealt(docs.sparkSession, items, item)
     kind = docs.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, n_words long, places array<int>, items array<string>, spans array<struct<start:int,end:int>>"
 
-    def one(part: int) -> DataFrame:
-        dealt = found if parts == 1 else found.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part)
-        sent = spark.sparkContext.broadcast([(r.item, r.text) for r in dealt.collect()])
-
+    def one(sent) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = build_automaton(sent.value)
             for batch in batches:
@@ -123,21 +116,43 @@ def find_contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", t
 
         return docs.select(key, text).mapInArrow(run, schema)
 
-    if parts == 1:
-        return one(0).select(key, "n_words", F.size("places").cast("long").alias("n_hit"), "items", "spans")
+    if len(every_list) == 1:
+        return one(every_list[0]).select(key, "n_words", F.size("places").cast("long").alias("n_hit"), "items", "spans")
     # Several automata: one scan each over rows numbered once, united by row.
-    from .common import settle
-
     docs = settle(docs.select(F.struct(F.monotonically_increasing_id().alias("row"), F.col(key).alias("id")).alias("__key"), text), "contamination")
     key, outer, kind = "__key", key, docs.schema["__key"].dataType.simpleString()
     schema = f"__key {kind}, n_words long, places array<int>, items array<string>, spans array<struct<start:int,end:int>>"
-    every = one(0)
-    for part in range(1, parts):
-        every = every.unionByName(one(part))
+    every = one(every_list[0])
+    for sent in every_list[1:]:
+        every = every.unionByName(one(sent))
     united = every.groupBy("__key").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
     return united.select(F.col("__key.id").alias(outer), "n_words", F.size("places").cast("long").alias("n_hit"), "items", "spans")
 
 
+def remove_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id") -> DataFrame:
+    """docs without those that hold a window of an item; a pass for each automaton. All columns stay."""
+    for sent in _dealt(docs.sparkSession, items, item):
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            automaton = build_automaton(sent.value)
+            for batch in batches:
+                clean = [not len(scan(t, automaton)[1]) for t in batch.column(text).to_pylist()]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
+def _dealt(spark: SparkSession, items: DataFrame, item: str) -> list:
+    """Broadcast lists of (item id, text), one for each automaton."""
+    found = items.where(F.col(item).isNotNull()).select(F.col(item).cast("string").alias("item"), F.col(items_text(items)).alias("text"))
+    # Windows overlap by all but a word: about ten times the text.
+    volume = found.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-volume * WINDOW // AUTOMATON_BYTES))
+    some = lambda part: found if parts == 1 else found.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part)
+    return [spark.sparkContext.broadcast([(r.item, r.text) for r in some(part).collect()]) for part in range(parts)]
+
+
 def items_text(items: DataFrame) -> str:
     return "text" if "text" in items.columns else next(f.name for f in items.schema if f.dataType.simpleString() == "string" and f.name != "item_id")
 

@@ -266,7 +266,7 @@ def _join_at(forest: DataFrame, classes: DataFrame, docs: DataFrame, text: str,
 
 
 def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row, id, n_links, class_id, root): one row per document. n_links counts the documents linked to it
+    """(row, id, n_links, class_id, root, text_hash, text_size): one row per document. n_links counts the documents linked to it
     directly, class_id is the least id it reaches by links, and root the row that stands for that class."""
     forest = build_forest(docs, key, text)
     sets = forest.where("set IS NOT NULL").groupBy("set").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("least_id"))
@@ -284,8 +284,24 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, recall: float
     placed = sets.join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(counts.withColumnRenamed("row", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     least = placed.groupBy("root").agg(F.min("least_id").alias("class_id"))
     placed = placed.join(least, "root").select("set", "rep", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "class_id", "root")
-    out = forest.select("row", "id", "set").join(placed, "set", "left")
-    return out.select("row", "id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("root", "row").alias("root"))
+    out = forest.select("row", "id", "set", "text_hash", "text_size").join(placed, "set", "left")
+    return out.select("row", "id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("root", "row").alias("root"), "text_hash", "text_size")
+
+
+def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents without those that link to one that stays: of each class the row that stands for it.
+    Documents without words all stay. All columns stay."""
+    found = jaccard_join(docs, similarity, key=key, text=text)
+    stay = settle(found.where("row = root").groupBy("id", "text_hash", "text_size").agg(F.count(F.lit(1)).alias("kept")), "stay")
+    same = (docs[key].eqNullSafe(stay["id"])) & (F.xxhash64(docs[text]) == stay["text_hash"]) & (F.octet_length(docs[text]).eqNullSafe(stay["text_size"]))
+    # Rows alike in id and text are one class unless they have no words; where any repeat, one of them stays.
+    rows = found.join(stay, (found["id"].eqNullSafe(stay["id"])) & (found["text_hash"] == stay["text_hash"]) & (found["text_size"].eqNullSafe(stay["text_size"])), "left_semi").count()
+    kept = docs.join(stay, same, "left_semi")
+    if rows == stay.agg(F.coalesce(F.sum("kept"), F.lit(0))).first()[0]:
+        return kept
+    spare = kept.withColumns({"__hash": F.xxhash64(text), "__size": F.octet_length(text)})
+    blank = F.length(F.regexp_replace(F.coalesce(text, F.lit("")), "[^0-9A-Za-z\\x{80}-\\x{10FFFF}]", "")) == 0
+    return spare.where(blank).drop("__hash", "__size").unionByName(spare.where(~blank).dropDuplicates([key, "__hash", "__size"]).drop("__hash", "__size"))
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
