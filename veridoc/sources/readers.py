@@ -5,10 +5,10 @@ from __future__ import annotations
 import os
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import STOPWORDS, basename
+from ..functions.text import STOPWORDS
 
 MOST_FILES, MOST_BYTES = 200, 5 * 1024 * 1024
 TEXT_FILES = "*.[tT][xX][tT]"
@@ -20,18 +20,20 @@ class SourceError(ValueError):
 
 def from_folder(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, path, filename, text, bytes) of the .txt files of a folder (not of folders in it); ids are
-    the ranks of the paths, from 0. Ranks come from the list of paths alone, not from the contents."""
-    read = spark.read.option("wholetext", True).option("pathGlobFilter", TEXT_FILES).text(folder)
-    files = read.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"), F.col("value").alias("text"))
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", TEXT_FILES).load(folder).select(F.col("_metadata.file_path").alias("path"))
-    if listed.isEmpty():
+    the ranks of the paths, from 0. The driver lists names and sizes, in any store; executors read the texts."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(place):
+        raise SourceError(f"no folder {folder}")
+    found = [(f.getPath().toString(), f.getPath().getName(), f.getLen()) for f in store.listStatus(place) if f.isFile() and f.getPath().getName().lower().endswith(".txt") and len(f.getPath().getName()) > len(".txt")]
+    if not found:
         raise SourceError(f"no .txt files in {folder}")
-    # A window over paths only, a row for each file.
-    ranks = listed.select("path", (F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("doc_id"))
-    # An empty file has no row in the text source.
-    known = listed.join(files, "path", "left").select("path", F.coalesce("bytes", F.lit(0)).alias("bytes"), F.coalesce("text", F.lit("")).alias("text"))
-    named = F.url_decode(F.regexp_replace(basename(F.col("path")), r"\+", "%2B"))
-    return known.join(ranks, "path").select("doc_id", "path", named.alias("filename"), "text", F.col("bytes").cast("long").alias("bytes"))
+    found.sort(key=lambda f: f[0].encode())
+    listed = spark.createDataFrame([(i, *f) for i, f in enumerate(found)], "doc_id long, path string, filename string, bytes long")
+    read = spark.read.option("wholetext", True).option("pathGlobFilter", TEXT_FILES).text(folder)
+    # The source has encoded paths, and no row for an empty file.
+    texts = read.select(F.url_decode(F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\+", "%2B")).alias("filename"), F.col("value").alias("text"))
+    return listed.join(texts, "filename", "left").select("doc_id", "path", "filename", F.coalesce("text", F.lit("")).alias("text"), "bytes")
 
 
 def from_parquet(spark: SparkSession, path: str) -> DataFrame:
