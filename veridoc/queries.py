@@ -271,7 +271,7 @@ SQL = {
     "flagged_pairs": f"WITH {_ALL_SCORES} SELECT a, b, {_ROUNDED} FROM score WHERE combined >= 0.75",
     "pair_severity": f"WITH {_ALL_SCORES} SELECT a, b, round(combined, 6) AS combined, CASE WHEN combined > 0.9 THEN 'High' WHEN combined > 0.8 THEN 'Medium' ELSE 'Low' END AS severity FROM score WHERE combined >= 0.75",
     "similarity_long": f'WITH {_ALL_SCORES} SELECT a AS "row", b AS col, round(combined, 6) AS score FROM score UNION ALL SELECT b, a, round(combined, 6) FROM score UNION ALL SELECT doc_id, doc_id, 1.0::DOUBLE FROM documents',
-    "similarity_block": f'WITH {_ALL_SCORES}, near AS (SELECT a AS "row", b AS col, combined AS s FROM score UNION ALL SELECT b, a, combined FROM score UNION ALL SELECT doc_id, doc_id, 1 FROM documents), some AS (SELECT doc_id FROM documents WHERE doc_id BETWEEN 0 AND 19) SELECT x.doc_id AS "row", y.doc_id AS col, round(coalesce(s, 0), 6) AS score FROM some x CROSS JOIN some y LEFT JOIN near ON "row" = x.doc_id AND col = y.doc_id',
+    "similarity_block": f'WITH {_ALL_SCORES}, near AS (SELECT a AS "row", b AS col, combined AS s FROM score UNION ALL SELECT b, a, combined FROM score UNION ALL SELECT doc_id, doc_id, 1 FROM documents), page AS (SELECT doc_id FROM documents WHERE doc_id BETWEEN 0 AND 19) SELECT x.doc_id AS "row", y.doc_id AS col, round(coalesce(s, 0), 6) AS score FROM page x CROSS JOIN page y LEFT JOIN near ON "row" = x.doc_id AND col = y.doc_id',
     "lm_ngrams": f"WITH {_LM} SELECT gram, n AS cnt FROM n3",
     "lm_contexts": f"WITH {_LM} SELECT context AS gram, c AS cnt FROM n2",
     "lm_vocabulary": f"WITH {_LM} SELECT word, cnt FROM vocabulary",
