@@ -18,5 +18,6 @@ QUERIES = {
 }
 SQL: dict[str, str] = {
     "op2_chat": chat.SQL,
+    "op3_decontamination": decontaminate.SQL,
     "op9_licenses": licenses.SQL,
 }
