@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import by_text_size, read_table
 
-SAMPLE_DOCUMENTS = 3000
-SAMPLE_LINES = 400
+SAMPLE_DOCUMENTS = 2000
+SAMPLE_LINES = 200
 THRESHOLD = 0.3
 CHARS_AT_ONCE = 1_000_000
 
@@ -207,19 +207,23 @@ def held_out(key: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> LineField | None:
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).groupBy(key).agg(F.max(label).alias("__good"))
     sample = known.orderBy(F.xxhash64(key), key).limit(SAMPLE_DOCUMENTS)
-    short = docs.select(key, text).where(F.length(F.regexp_replace(F.coalesce(text, F.lit("")), "[^\n]", "")) < SAMPLE_LINES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            # Lines are counted here, behind the join, and so only in texts of the sample.
             texts = [t or "" for t in batch.column(text).to_pylist()]
+            short = [t.count("\n") < SAMPLE_LINES for t in texts]
+            texts, good = [t for t, s in zip(texts, short) if s], batch.column("__good").filter(pa.array(short, pa.bool_()))
             if texts:
                 features, size, lines = line_features(texts)
                 stop = np.cumsum(lines)
                 rows = [(features[b - n : b].astype(np.float32).tobytes(), size[b - n : b].astype(np.int64).tobytes()) for b, n in zip(stop, lines)]
-                yield pa.RecordBatch.from_arrays([batch.column("__good"), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["good", "features", "size"])
+                yield pa.RecordBatch.from_arrays([good, pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["good", "features", "size"])
 
     # The sample has a fixed bound, and so may be broadcast and its features collected.
-    rows = F.broadcast(sample).join(short, key).orderBy(key).select("__good", text).mapInArrow(run, "good int, features binary, size binary").collect()
+    # Of repeated ids the least text counts, so that repeats don't pass the bound.
+    chosen = F.broadcast(sample).join(docs.select(key, text), key).groupBy(key, "__good").agg(F.min(text).alias(text))
+    rows = chosen.orderBy(key).select("__good", text).mapInArrow(run, "good int, features binary, size binary").collect()
     good = np.array([r.good > 0 for r in rows])
     if not len(rows) or good.all() or not good.any():
         return None
