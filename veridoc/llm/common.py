@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _own_scratch: str | None = None
+_settled: list[str] = []
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +36,7 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared scratch folder and read it back: lineage ends there, and the
     rows stay the same however often they are read and whichever executors are lost."""
     path = scratch_path(df.sparkSession, label)
+    _settled.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -47,6 +49,13 @@ def discard(df: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all settled tables of this process, once no result that reads them is needed."""
+    while _settled:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(_settled.pop())
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def by_text_size(texts: list[str], limit: int) -> Iterator[range]:
     """Runs of neighbouring texts of about `limit` characters together; a longer text is a run of its own."""
     start = size = 0

@@ -29,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_text_size, read_table, settle
+from .common import by_text_size, discard, read_table, settle
 from .components import components
-from .decontaminate import _TO_WORDS
+from .decontaminate import _CUT, _TO_WORDS
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.999
 TREES, DEPTH = 20, 5
@@ -198,7 +198,7 @@ def _verify(similarity: float, depth: int):
             rows, copies = block["row"].to_numpy(), block["copies"].to_numpy()
             sets = [np.frombuffer(x, np.uint64) for x in block["items"].to_pylist()]
             size = np.array([len(s) for s in sets])
-            least = np.minimum(size[:, None], size[None, :]) >= similarity * np.maximum(size[:, None], size[None, :])
+            least = np.minimum(size[:, None], size[None, :]) / np.maximum(size[:, None], size[None, :]) >= similarity
             links, root = np.zeros(len(rows), np.int64), list(range(len(rows)))
 
             def top(x: int) -> int:
@@ -210,7 +210,7 @@ def _verify(similarity: float, depth: int):
             found, expected = 0, 0.0
             for i, others, common in _overlaps(sets, met & least):
                 union = size[i] + size[others] - common
-                hit = common >= similarity * union
+                hit = common / union >= similarity
                 if not hit.any():
                     continue
                 near = others[hit]
@@ -262,7 +262,9 @@ def _join_at(forest: DataFrame, classes: DataFrame, docs: DataFrame, text: str,
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("copies"), pa.array(packed, pa.binary())], ["row", "copies", "items"])
 
     sets = texts.join(wanted, ["text_hash", "text_size"]).select("row", "copies", "text").mapInArrow(items, "row long, copies long, items binary")
-    return settle(in_blocks(needed.join(sets, "row")).mapInArrow(_verify(similarity, depth), "row long, links long, other long, found long, expected double"), "links")
+    links = settle(in_blocks(needed.join(sets, "row")).mapInArrow(_verify(similarity, depth), "row long, links long, other long, found long, expected double"), "links")
+    discard(needed)
+    return links
 
 
 def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -278,7 +280,9 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, recall: float
         found, expected = links.agg(F.sum("found"), F.sum("expected")).first()
         if depth == 1 or not found or found / expected >= recall:
             break
+        discard(links)
         depth -= 1
+    discard(classes)
     counts = links.groupBy("row").agg(F.sum("links").alias("links"))
     roots = components(links.where("other IS NOT NULL").select(F.col("row").alias("a"), F.col("other").alias("b")))
     placed = sets.join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(counts.withColumnRenamed("row", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
@@ -306,3 +310,16 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(read_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "n_links")
+
+
+# By brute force: all pairs that share an item, and closure of the links.
+SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_CUT} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= {WORDS} THEN list_transform(range(1, len(w) - {WORDS} + 2), lambda i: array_to_string(w[i:i + {WORDS} - 1], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS x FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n m ON m.doc_id = a JOIN n k ON k.doc_id = b WHERE c >= {SIMILARITY} * (m.n + k.n - c)),
+reach(v, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.v, l.b FROM reach JOIN l ON l.a = reach.r),
+least AS (SELECT v, min(r) AS class_id FROM reach GROUP BY v)
+SELECT v AS doc_id, class_id, (SELECT count(*) FROM l WHERE a = v) AS n_links FROM least
+"""

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, settle
+from .common import discard, read_table, settle
 from .components import components
 from .jaccard import _groups
 
@@ -275,7 +275,9 @@ def _links(classes: DataFrame, centres: np.ndarray, overlap: int, beam: int) ->
     asked = members.join(united, "row").select("*", F.explode(F.sequence(F.lit(0), F.col("chunk"))).alias("graph"))
     asked = asked.select("shard", "graph", "chunk", "row", "copies", "unit", "shards", F.when(F.col("graph") == F.col("chunk"), F.col("near")).alias("near"))
     found = asked.repartition(parts, "shard", "graph").sortWithinPartitions("shard", "graph", "chunk", "row").mapInArrow(_search(beam), "row long, links long, other long")
-    return settle(found, "links")
+    links = settle(found, "links")
+    discard(placed)
+    return links
 
 
 def _audit(classes: DataFrame, counts: DataFrame) -> float:
@@ -326,6 +328,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
             if (recall := _audit(classes, counts)) >= TARGET:
                 break
             overlap, beam = overlap + 2, beam * 2
+        discard(classes)
     if links is None:
         return every.select("row", "id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("row").alias("root"), F.lit(recall).alias("recall"))
     roots = components(links.where("other IS NOT NULL").select(F.col("row").alias("a"), F.col("other").alias("b")))
@@ -338,4 +341,15 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
 
 def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = near_vectors(read_table(spark, sf_dir, "embeddings"))
-    return near.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"), "recall")
+    return near.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+# By brute force over all pairs.
+SQL = f"""
+WITH RECURSIVE x AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM embeddings WHERE embedding IS NOT NULL),
+good AS (SELECT vec_id, e FROM x WHERE len(list_filter(e, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND list_dot_product(e, e) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= {RADIUS}),
+reach(v, r) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.v, l.b FROM reach JOIN l ON l.a = reach.r),
+least AS (SELECT v, min(r) AS component_id FROM reach GROUP BY v)
+SELECT v AS vec_id, (SELECT count(*) FROM l WHERE a = v) AS n_links, component_id, v = component_id AS kept FROM least
+"""

@@ -19,5 +19,7 @@ QUERIES = {
 SQL: dict[str, str] = {
     "op2_chat": chat.SQL,
     "op3_decontamination": decontaminate.SQL,
+    "op5_near_vectors": neighbours.SQL,
+    "op6_jaccard": jaccard.SQL,
     "op9_licenses": licenses.SQL,
 }
