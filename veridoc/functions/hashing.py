@@ -12,7 +12,7 @@ U = np.uint32
 OFFSET, PRIME, GOLDEN, FINAL = U(2166136261), U(16777619), U(0x9E3779B9), U(0x85EBCA6B)
 POSITION = U(17)
 SEEDS = GOLDEN + np.arange(SIGNATURE, dtype=U) * FINAL
-TOKENS_AT_ONCE = 60_000
+TOKENS_AT_ONCE = 120_000
 
 
 def _bytes_by_place(words: list[bytes]):

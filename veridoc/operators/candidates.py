@@ -43,8 +43,8 @@ def band_keys(tokens: DataFrame, banding: tuple[int, int] = (20, 5)) -> DataFram
 
 
 def candidate_pairs(bands: DataFrame) -> DataFrame:
-    """(a, b, first_band, first_key), a < b, for all that share a key in some band. Both sides read one exchange
-    of the bands, so each signature is made once; adaptive execution splits keys of very many."""
+    """(a, b, first_band, first_key), a < b, for all that share a key in some band. bands are read twice, so
+    they should be settled or cached; adaptive execution splits keys of very many."""
     left, right = (bands.select("band", "key", F.col("doc_id").alias(side)) for side in ("a", "b"))
     pairs = left.join(right, ["band", "key"]).where("a < b")
     return pairs.groupBy("a", "b").agg(F.min(F.struct("band", "key")).alias("first")).select("a", "b", F.col("first.band").alias("first_band"), F.col("first.key").alias("first_key"))

@@ -45,7 +45,7 @@ def analyze(spark: SparkSession, documents: DataFrame, config: Config | None = N
     config = config or Config()
     words = readers.STOPWORDS if stopwords is None else stopwords
     tokens = terms.tokenized(documents, words).persist(StorageLevel.MEMORY_AND_DISK)
-    bands = candidates.band_keys(tokens, config.banding)
+    bands = candidates.band_keys(tokens, config.banding).persist(StorageLevel.MEMORY_AND_DISK)
     pairs = candidates.candidate_pairs(bands).persist(StorageLevel.MEMORY_AND_DISK)
     scores = similarity.pair_scores(pairs, tokens).persist(StorageLevel.MEMORY_AND_DISK)
     model = authorship.train(spark, corpus, config.ngram, words)
@@ -54,7 +54,7 @@ def analyze(spark: SparkSession, documents: DataFrame, config: Config | None = N
     judged = authorship.authorship_scores(documents, tokens, model, config.ai_threshold, words)
     names = documents.select("doc_id", "filename")
     judged = names.join(judged, "doc_id").persist(StorageLevel.MEMORY_AND_DISK)
-    return Result(config, documents, tokens, pairs, scores, similarity.flagged(scores, config.sim_threshold), judged, held=[tokens, pairs, scores, judged])
+    return Result(config, documents, tokens, pairs, scores, similarity.flagged(scores, config.sim_threshold), judged, held=[tokens, bands, pairs, scores, judged])
 
 
 def run_stages(result: Result) -> dict[str, int]:

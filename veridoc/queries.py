@@ -9,13 +9,17 @@ from .config import SHINGLE, SIGNATURE
 from .functions.text import STOPWORDS
 from .operators import authorship, candidates, similarity, terms
 from .plans import benchmark
+from .scratch import settle
 
 LOOKUP_TERM = "er"
 _r = lambda name: F.round(name, 6).alias(name)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    """Fewer files than cores are dealt out, as a file of one row group is else one task."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if len(docs._jdf.inputFiles()) < cores else docs
 
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +27,8 @@ def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs(tokens: DataFrame) -> DataFrame:
-    return candidates.candidate_pairs(candidates.band_keys(tokens))
+    """Band keys and pairs are read several times, and so written once."""
+    return settle(candidates.candidate_pairs(settle(candidates.band_keys(tokens), "bands")), "pairs")
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
