@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,7 +25,7 @@ from .common import by_text_size, read_table
 from .pretokenize import pieces
 
 CACHE_ENTRIES = 600_000  # of about 200 bytes
-CHARS_AT_ONCE = 1_000_000
+CHARS_AT_ONCE = 2_000_000
 
 
 @cache
@@ -195,27 +196,59 @@ class PieceCache(dict):
         self.encode, self.entries = encode, entries
 
     def ids(self, found: list[str]) -> list[bytes]:
-        new = set(found).difference(self)
-        if len(self) + len(new) > self.entries:
-            self.clear()
-            new = set(found)
-        new = list(new)
-        self.update(zip(new, self.encode(new)))
-        out = list(map(self.__getitem__, found))
-        if len(self) > self.entries:
-            self.clear()
+        out = list(map(self.get, found))
+        new = list(dict.fromkeys(p for p, ids in zip(found, out) if ids is None))
+        if new:
+            encoded = dict(zip(new, self.encode(new)))
+            out = [encoded[p] if ids is None else ids for p, ids in zip(found, out)]
+            if len(self) + len(new) > self.entries:
+                self.clear()
+            if len(new) <= self.entries:
+                self.update(encoded)
         return out
 
 
+_POWER = np.cumprod(np.concatenate([[np.uint64(1)], np.full(255, 0x9E3779B97F4A7C15, np.uint64)]), dtype=np.uint64)
+
+
+def _distinct(code: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the first piece of each distinct kind, kind of each piece). Pieces are told apart by a hash of
+    their codepoints, and each is then compared with the first of its kind, so the outcome is exact."""
+    before = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(before, size)
+    own = code[np.repeat(first, size) + place]
+    mixed = (own.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    mixed ^= mixed >> np.uint64(29)
+    hashed = np.add.reduceat(mixed * _POWER[place & 255], before) + size.astype(np.uint64)
+    kind, known = pd.factorize(hashed)
+    lead = np.empty(len(known), np.int64)
+    lead[kind[::-1]] = np.arange(len(kind) - 1, -1, -1)
+    of = lead[kind]
+    same = (size == size[of]).all() and (own == code[np.repeat(first[of], size) + place]).all()
+    if not same:  # two pieces of one hash: every piece is its own kind
+        return np.arange(len(first)), np.arange(len(first))
+    return lead, kind
+
+
 def encode_texts(texts: list[str], known: PieceCache) -> Iterator[bytes]:
     """The ids of each text as little-endian unsigned 32-bit integers."""
     for run in by_text_size(texts, CHARS_AT_ONCE):
         joined, first, end, upto = pieces(texts[run.start : run.stop])
-        ids = known.ids([joined[a:b] for a, b in zip(first.tolist(), end.tolist())])
-        at = 0
-        for stop in upto.tolist():
-            yield b"".join(ids[at:stop])
-            at = stop
+        if not len(first):
+            yield from (b"" for _ in upto)
+            continue
+        code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        lead, kind = _distinct(code, first, end - first)
+        found = known.ids([joined[a:b] for a, b in zip(first[lead].tolist(), end[lead].tolist())])
+        # Each piece takes its kind's ids: counts and places first, then one gather.
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), "<u4")
+        begin, count = (np.cumsum(size) - size)[kind], size[kind]
+        stop = np.cumsum(count)
+        ids = flat[np.repeat(begin - (stop - count), count) + np.arange(int(stop[-1]))]
+        bounds = np.concatenate([[0], stop])[np.concatenate([[0], upto])].tolist()
+        for a, b in zip(bounds, bounds[1:]):
+            yield ids[a:b].tobytes()
 
 
 @cache
