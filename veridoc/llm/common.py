@@ -2,60 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-_own_scratch: str | None = None
-_settled: list[str] = []
+from ..scratch import clear_scratch, discard, scratch_path, settle
+
+__all__ = ["arrow_map", "by_text_size", "clear_scratch", "discard", "read_table", "scratch_path", "settle", "texts_of"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one where it is unset."""
-    global _own_scratch
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if _own_scratch is None:
-        _own_scratch = "file://" + tempfile.mkdtemp(prefix="veridoc-")
-    return _own_scratch
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def settle(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet in the shared scratch folder and read it back: lineage ends there, and the
-    rows stay the same however often they are read and whichever executors are lost."""
-    path = scratch_path(df.sparkSession, label)
-    _settled.append(path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Remove the files of a settled table that no later plan reads."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def clear_scratch(spark: SparkSession) -> None:
-    """Remove all settled tables of this process, once no result that reads them is needed."""
-    while _settled:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(_settled.pop())
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def by_text_size(texts: list[str], limit: int) -> Iterator[range]:
     """Runs of neighbouring texts of about `limit` characters together; a longer text is a run of its own."""
     start = size = 0
