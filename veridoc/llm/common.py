@@ -1,15 +1,14 @@
-"""What the operators share: reading tables, the shared scratch folder, and Arrow helpers."""
+"""What the operators share: reading tables, the shared scratch folder, and runs of texts."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..scratch import clear_scratch, discard, scratch_path, settle
 
-__all__ = ["arrow_map", "by_text_size", "clear_scratch", "discard", "read_table", "scratch_path", "settle", "texts_of"]
+__all__ = ["by_text_size", "clear_scratch", "discard", "read_table", "scratch_path", "settle"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,18 +25,3 @@ def by_text_size(texts: list[str], limit: int) -> Iterator[range]:
         size += len(text)
     if start < len(texts):
         yield range(start, len(texts))
-
-
-def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch."""
-
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield function(batch)
-
-    return df.mapInArrow(over, schema)
-
-
-def texts_of(batch: pa.RecordBatch, name: str) -> list[str]:
-    """The texts of a batch, null as empty."""
-    return [x or "" for x in batch.column(name).to_pylist()]
