@@ -88,6 +88,35 @@ def test_secrets(text, expected):
     assert marked(text or "") == expected
 
 
+@pytest.mark.parametrize(
+    "line",
+    [
+        'db_pwd="{}"',
+        "db_pwd='{}'",
+        'db_pwd= "{}"',
+        'export DB_PWD="{}"',
+        '<conn user="bob" db_pwd="{}"/>',
+        'connect(user="bob", db_pwd="{}")',
+        'note: db_pwd="{}"',
+        'cfg["db_pwd"] = "{}"',
+        'cfg["db"]["pwd"]="{}"',
+        'db_pwd: str = "{}"',
+        'self.db_pwd: Optional[str]="{}"',
+        'def f(user: str = "a", pwd: str = "{}"):',
+        'A="{}"\npassphrase=A',
+        'A: str = "{}"\npassphrase = A',
+        'c["a"] = "{}"\npassphrase = c["a"]',
+    ],
+)
+def test_secrets_without_blanks_subscripted_and_annotated(line):
+    assert marked(line.format("xK9!mQ2#vL7p")) == [("literal", "xK9!mQ2#vL7p")]
+
+
+def test_secrets_keep_padding_and_bind_no_types():
+    assert marked("pwd = YWJjZGVmZ2hpamtsbQ== x") == [("literal", "YWJjZGVmZ2hpamtsbQ==")]
+    assert marked('x: str = "xK9!mQ2#vL7p"\npwd: str') == []
+
+
 def test_redaction_and_operator(spark):
     text = "a secret=0123456789abcdef b AKIAABCDEFGHIJKLMN"
     docs = spark.createDataFrame([(1, text, 46, "s"), (2, None, None, "s"), (2, "clean", 5, "s"), (None, "", 0, "s")], "doc_id long, text string, n_chars long, spans string")

@@ -2,7 +2,8 @@
 
 Three base patterns always count: `assign`, `access` and `hex` (below). On top of them, every line with an
 assignment sign is lexed into (name, expression) pairs: `name = value`, `name: value`, `name := value`,
-`name => value`, with names bare or quoted, and values quoted, bare, joined by `+`, or other names. Names
+`name => value`, `name += value`, `name: type = value`, blanks or none around the sign, with names bare, quoted or
+subscripted (`cfg["db"]["pwd"]` is the name cfg.db.pwd), and values quoted, bare, joined by `+`, or other names. Names
 bound to literals are constants: a later `password = NAME` leads back to the literal NAME was bound to. Each
 literal scores by the sensitive words of the names it reaches times how random it looks; from THRESHOLD on it
 is a span of kind `literal`, unless a base span already touches it.
@@ -37,7 +38,12 @@ SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "pas
 PUBLIC = {"public", "id", "name", "url", "path", "file", "length", "size", "type", "count", "hint", "field", "label", "primary", "foreign", "sort"}
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|0+|<.*>|\$\{.*\}|\$\w+|%\w+%|\{\{.*\}\}|change[-_ ]?me|your[-_ ].*|example.*|null|none|true|false|todo|test|default)$")
-_LEX = re.compile(r"""(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<set>:=|=>|={1,3}|:(?!//))|(?P<plus>\+)|(?P<word>[A-Za-z0-9_$@%./~!-](?:[A-Za-z0-9_$@%./~!+-]|:(?=//)|=(?=[\s"',;)\]}]|$))*)|(?P<other>\S)""")
+_STRING = r""""(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'"""
+_LEX = re.compile(rf"""(?P<string>{_STRING})|(?P<set>\+=|:=|=>|={{1,3}}|:(?!//))|(?P<plus>\+)|(?P<word>[A-Za-z0-9_$@%./~!-](?:[A-Za-z0-9_$@%./~!+-]|:(?=//))*)|(?P<other>\S)""")
+_PADDING = re.compile(rf"""={{1,2}}(?!\s*(?:{_STRING}))(?=[\s"',;)\]}}]|$)""")  # the end of a base64 value; name="..." has none
+# Types of annotations; they and names in capitals and small letters are not bound as names.
+TYPES = {"any", "array", "auto", "bool", "byte", "bytes", "char", "const", "dict", "final", "float", "int", "list", "map", "none", "null", "object", "option", "optional", "static", "str", "string", "tuple", "undefined", "union", "text", "typing", "vec"}
+_NO_TARGET = {"if", "elif", "while", "for", "with", "case", "when", "in", "and", "or", "not", "is"}  # before `x: y = ...`, x is no target
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -85,22 +91,128 @@ def pairs(text: str) -> list[tuple[str, list[tuple[int, int]], list[str]]]:
     return out
 
 
+def _opening(line: str, tokens: list, i: int) -> int:
+    """The index of the bracket that token i closes, or -1."""
+    depth = 0
+    for k in range(i, -1, -1):
+        kind, a, _ = tokens[k]
+        if kind == "other":
+            depth += (line[a] in "]}") - (line[a] in "[{")
+            if not depth:
+                return k
+        elif kind == "set":
+            break
+    return -1
+
+
+def _closing(line: str, tokens: list, i: int) -> int:
+    """The index of the bracket that closes the subscript that token i opens, or -1."""
+    depth = 0
+    for k in range(i, len(tokens)):
+        kind, a, _ = tokens[k]
+        if kind == "other":
+            depth += (line[a] in "[{") - (line[a] in "]}")
+            if not depth:
+                return k
+        elif kind == "set":
+            break
+    return -1
+
+
+def _plain(line: str, token: tuple) -> str:
+    kind, a, b = token
+    return line[a + 1 : b - 1] if kind == "string" else line[a:b].lstrip("-$@")
+
+
+def _joined(line: str, tokens: list) -> str:
+    """The dotted name of a subscripted one: cfg["db"]["pwd"] is cfg.db.pwd."""
+    return ".".join(_plain(line, t) for t in tokens if t[0] in ("word", "string"))
+
+
+def _target(line: str, tokens: list, i: int) -> tuple[int, str | None]:
+    """The first token and the name of the target that ends at token i; no name if there is none."""
+    first = i
+    while first >= 0 and tokens[first][0] == "other" and line[tokens[first][1]] in "]}":
+        opened = _opening(line, tokens, first)
+        if opened < 0:
+            return first, None
+        beside = opened and tokens[opened - 1][2] == tokens[opened][1]
+        before = tokens[opened - 1] if beside else None
+        if before and (before[0] == "word" or before[0] == "other" and line[before[1]] in "]}"):
+            first = opened - 1
+        elif first - opened == 2:  # ["name"] alone, as in a table of Lua or a computed key
+            first = opened
+            break
+        else:
+            return first, None
+    if first == i and (i < 0 or tokens[i][0] not in ("word", "string")):
+        return first, None
+    return first, _joined(line, tokens[first : i + 1]) or None
+
+
+def _is_type(name: str) -> bool:
+    """Whether a name reads as a type: str, typing.Optional.str, SecretStr."""
+    return all(p.lower() in TYPES or p[:1].isupper() and not p.isupper() for p in name.strip(".").split("."))
+
+
+def _annotated(line: str, tokens: list, first: int, end: int) -> str | None:
+    """The name that is declared by `name: type =`, where a type runs from some token to end and its last part starts at first."""
+    depth, typed, k = 0, False, end - 1
+    while k >= 0:
+        kind, a, b = tokens[k]
+        if kind == "set":
+            break
+        if kind == "other":
+            sign = line[a]
+            depth += (sign in "])>") - (sign in "[(<")
+            if depth < 0 or sign not in "[]()<>?|&*'," or sign == "," and not depth:
+                return None
+        else:
+            typed = typed or kind == "word" and _is_type(line[a:b])
+        k -= 1
+    if k < 1 or depth or line[tokens[k][1] : tokens[k][2]] != ":" or not (typed or k == first - 1):
+        return None
+    begin, name = _target(line, tokens, k - 1)
+    before = tokens[begin - 1] if begin > 0 else None
+    return None if before and line[before[1] : before[2]] in _NO_TARGET else name
+
+
 def _line_pairs(line: str, start: int, out: list) -> None:
     tokens = [(m.lastgroup, m.start(), m.end()) for m in _LEX.finditer(line)]
     for i in range(1, len(tokens) - 1):
-        if tokens[i][0] != "set" or tokens[i - 1][0] not in ("word", "string"):
+        if tokens[i][0] != "set":
+            continue
+        sign = line[tokens[i][1] : tokens[i][2]]
+        first, name = _target(line, tokens, i - 1)
+        targets = [name] if name else []
+        if sign == "=":
+            declared = _annotated(line, tokens, first, i)
+            if declared:
+                targets = [declared] + [n for n in targets if name_score(n) or not _is_type(n)]
+        if not targets:
             continue
-        kind, a, b = tokens[i - 1]
-        name = line[a + 1 : b - 1] if kind == "string" else line[a:b].lstrip("-$@")
         literals, names = [], []
+        if sign == "+=" or sign == "=" and targets[-1].endswith("+"):
+            targets = [t.rstrip("+") for t in targets]
+            names += targets
         j = i + 1
         while j < len(tokens):
             kind, a, b = tokens[j]
             if kind == "string":
                 literals.append((start + a + 1, start + b - 1))
             elif kind == "word":
-                literals.append((start + a, start + b))
                 names.append(line[a:b].lstrip("$"))
+                padding = j + 1 < len(tokens) and tokens[j + 1][0] == "set" and tokens[j + 1][1] == b and _PADDING.match(line, b)
+                if padding:
+                    b = padding.end()
+                    j += 1
+                literals.append((start + a, start + b))
+                while j + 1 < len(tokens) and tokens[j + 1][1] == tokens[j][2] and line[tokens[j + 1][1]] in "[{":
+                    closed = _closing(line, tokens, j + 1)
+                    if closed < 0:
+                        break
+                    names.append(f"{names[-1]}.{_joined(line, tokens[j + 1 : closed])}")
+                    j = closed
             else:
                 break
             j += 1
@@ -108,7 +220,7 @@ def _line_pairs(line: str, start: int, out: list) -> None:
                 break
             j += 1
         if literals:
-            out.append((name, literals, names))
+            out += [(t, literals, names) for t in targets]
 
 
 def lexed_spans(text: str) -> list[tuple[int, int, int]]:
