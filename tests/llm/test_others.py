@@ -117,6 +117,15 @@ def test_secrets_keep_padding_and_bind_no_types():
     assert marked('x: str = "xK9!mQ2#vL7p"\npwd: str') == []
 
 
+def test_secrets_of_long_concatenations():
+    parts = [f"xK9!mQ2#vL{i:03}" for i in range(200)]
+    for text in ("S = " + " + ".join(f'"{p}"' for p in parts) + "\npwd = S", 'S = "a"\n' + "".join(f'S = S + "{p}"\n' for p in parts) + "pwd = S"):
+        assert marked(text) == [("literal", p) for p in parts]
+    chain = 'N0 = "xK9!mQ2#vL7p"\n' + "".join(f"N{i + 1} = N{i}\n" for i in range(5000))
+    assert marked(chain) == [] and marked(chain + "pwd = N5000") == [("literal", "xK9!mQ2#vL7p")]
+    assert marked('S = "xK9!mQ2#vL7p"\nS = "b"\npwd = S') == []  # bound anew before it is used
+
+
 def test_redaction_and_operator(spark):
     text = "a secret=0123456789abcdef b AKIAABCDEFGHIJKLMN"
     docs = spark.createDataFrame([(1, text, 46, "s"), (2, None, None, "s"), (2, "clean", 5, "s"), (None, "", 0, "s")], "doc_id long, text string, n_chars long, spans string")

@@ -224,19 +224,26 @@ def _line_pairs(line: str, start: int, out: list) -> None:
 
 
 def lexed_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of literals whose names, its own or those it is passed on to, are sensitive."""
-    bound: dict[str, set[tuple[int, int]]] = {}
+    """(start, kind, end) of literals whose names, its own or those it is passed on to, are sensitive.
+
+    An assignment points back at those that its other names were bound by then; scores are handed
+    back along these from the last assignment to the first, so each one is visited once."""
+    found = pairs(text)
+    bound: dict[str, int] = {}
+    sources: list[list[int]] = []
+    scores: list[float] = []
+    for i, (name, _, names) in enumerate(found):
+        sources.append([bound[other] for other in names if other in bound])
+        scores.append(name_score(name))
+        bound[name] = i
     reach: dict[tuple[int, int], float] = {}
-    for name, literals, names in pairs(text):
-        own = set(literals)
-        for other in names:
-            own |= bound.get(other, set())
-        if len(own) <= 64:
-            bound[name] = own
-        score = name_score(name)
+    for i in range(len(found) - 1, -1, -1):
+        score = scores[i]
         if score:
-            for span in own:
+            for span in found[i][1]:
                 reach[span] = max(reach.get(span, 0.0), score)
+            for k in sources[i]:
+                scores[k] = max(scores[k], score)
     return [(a, 3, b) for (a, b), score in reach.items() if score * literal_score(text[a:b]) >= THRESHOLD]
 
 
