@@ -119,3 +119,18 @@ def test_token_files(spark, tmp_path):
     assert not view.flags.owndata and not view.flags.writeable  # no copy of the mapped file
     empty = token_files.write_token_files(docs.where("false"), f"file://{tmp_path}/e", JSON)
     assert token_files.read_token_files(empty).count() == 0
+
+
+def test_token_files_with_added_tokens(spark, tmp_path):
+    import zlib
+
+    library = Tokenizer.from_file(JSON)
+    texts = ["a<|endoftext|>b", *ODD, "<|endoftext|><|endoftext|> it's", "<|endoftext| >", "x <|endoftext|>\n\ny" * 50, "after"]
+    (tmp_path / "sf").mkdir()
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/sf/documents.parquet")
+    found = token_files.op7_token_files(spark, f"{tmp_path}/sf").orderBy("doc_id").collect()
+    start = 0
+    for r, text in zip(found, texts, strict=True):
+        ids = [*library.encode(text, add_special_tokens=False).ids, 0]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)

@@ -10,7 +10,10 @@ within the file. A manifest of a row for each file, in key order, gives each fil
 A file is written under a name of its own and then renamed, so a task that runs twice leaves one whole file.
 
 Encoding uses the tokenizers library; as byte-level pieces are encoded independently, each distinct piece is
-sent to it once and then found in a bounded cache (`bpe.PieceCache`).
+sent to it once and then found in a bounded cache (`bpe.PieceCache`). With `added_tokens=True`, as in the query, the
+ids are those of the library's own call on the whole text (add_special_tokens=False, nothing else set): a text that
+holds an added token of the tokenizer, like <|endoftext|>, goes to the library whole. Without, such strings are
+encoded as plain text.
 
 Defined results: null and empty texts hold the end id alone; null keys come first; repeated rows stay, in
 the order of their texts; an empty table gives no files. Extra columns are ignored.
@@ -40,12 +43,13 @@ END_ID = 0
 
 
 @cache
-def _library(path: str):
+def _library(path: str, added_tokens: bool = False):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    if not added_tokens:
+        tokenizer.encode_special_tokens = True
     return tokenizer
 
 
@@ -62,6 +66,17 @@ def _cache_for(path: str) -> PieceCache:
     return PieceCache(encode)
 
 
+def _encode(texts: list[str], tokenizer: str, added_tokens: bool) -> Iterator[bytes]:
+    """The ids of each text as little-endian unsigned 32-bit integers."""
+    known = _cache_for(tokenizer)
+    added = [t.content for t in _library(tokenizer).get_added_tokens_decoder().values()] if added_tokens else []
+    whole = {i for i, t in enumerate(texts) if any(a in t for a in added)}
+    for i, packed in enumerate(encode_texts(["" if i in whole else t for i, t in enumerate(texts)], known)):
+        if i in whole:
+            packed = np.array(_library(tokenizer, True).encode_batch_fast([texts[i]], add_special_tokens=False)[0].ids, "<u4").tobytes()
+        yield packed
+
+
 class SequenceWriter:
     """Streams ids into a file of fixed-size-list batches; holds a batch at most."""
 
@@ -123,7 +138,7 @@ class SequenceFile:
         return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, sequence: int = SEQUENCE, key: str = "doc_id", text: str = "text") -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, sequence: int = SEQUENCE, key: str = "doc_id", text: str = "text", added_tokens: bool = False) -> DataFrame:
     """Write the files under a folder that all executors see; return the manifest
     (part, file, first, n_tokens, n_docs) in key order."""
     spark = docs.sparkSession
@@ -133,7 +148,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, place = pafs.FileSystem.from_uri(folder)
-        part, known = TaskContext.get().partitionId(), _cache_for(tokenizer)
+        part = TaskContext.get().partitionId()
         own = f"{place}/.{uuid.uuid4().hex}"
         end = np.array([end_id], "<u4")
         writer = index = None
@@ -147,7 +162,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
                 index_out = fs.open_output_stream(f"{own}.index")
                 index = pa.ipc.new_file(index_out, index_schema)
             starts, sizes = [], []
-            for packed in encode_texts([t or "" for t in batch.column(text).to_pylist()], known):
+            for packed in _encode([t or "" for t in batch.column(text).to_pylist()], tokenizer, added_tokens):
                 starts.append(writer.total)
                 writer.add(np.concatenate([np.frombuffer(packed, "<u4"), end]))
                 sizes.append(writer.total - starts[-1])
@@ -199,5 +214,5 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = read_table(spark, sf_dir, "documents")
-    manifest = write_token_files(docs, scratch_path(spark, "tokens"), public_tokenizers.path("byte_bpe_50k.json"))
+    manifest = write_token_files(docs, scratch_path(spark, "tokens"), public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True)
     return read_token_files(manifest, docs.schema["doc_id"].dataType.simpleString())
