@@ -45,6 +45,25 @@ def test_report(spark, folder, tmp_path):
     assert shaped["flagged_pairs"][0]["doc_a"] == "a.TXT" and shaped["speedup"] is None and shaped["num_docs"] == 4
 
 
+def test_long_form_beyond_the_dense_bound(spark, folder, tmp_path, capsys, monkeypatch):
+    dense = analysis.analyze_folder(spark, Config(input=str(folder), output=str(tmp_path / "dense")))
+    monkeypatch.setattr(sinks, "DENSE_DOCUMENTS", 3)
+    out = tmp_path / "out"
+    for _ in range(2):  # a second run replaces the first
+        assert cli.main(["--input", str(folder), "--out-dir", str(out)], spark) == 0
+    said = capsys.readouterr().out
+    assert "documents: 4\n" in said and "flagged pairs: 1\n" in said and " of 4\n" in said
+    read = {name: spark.read.parquet(f"{out}/{name}").collect() for name in sinks.TABLES}
+    assert {r.filename for r in read["documents"]} == {d["filename"] for d in dense["documents"]}
+    assert [(r.a, r.b) for r in read["flagged_pairs"]] == [(0, 1)]
+    assert {(r.filename, round(r.ai_score, 9)) for r in read["ai_scores"]} == {(s["filename"], round(s["ai_score"], 9)) for s in dense["ai_scores"]}
+    assert read["similarity"] and spark.read.option("header", True).csv(f"{out}/ai_scores.csv").count() == 4
+    found = json.loads((out / "report.json").read_text())
+    assert found["meta"]["num_docs"] == 4 and found["benchmark"]["candidate_generation"]["flagged_pairs"] == 1
+    shaped = analysis.normalise(found, "j")
+    assert shaped["num_docs"] == 4 and shaped["tables"] == list(sinks.TABLES)
+
+
 def test_cli_codes(spark, folder, tmp_path, capsys):
     out = str(tmp_path / "o")
     assert cli.main(["--input", str(folder), "--out-dir", out, "--benchmark"], spark) == 0

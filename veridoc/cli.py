@@ -58,7 +58,8 @@ def main(arguments: list[str] | None = None, spark=None) -> int:
     print(f"documents: {found['meta']['num_docs']}")
     print(f"candidate pairs: {pairs['candidate_pairs']} of {pairs['total_pairs']}")
     print(f"flagged pairs: {pairs['flagged_pairs']}")
-    print(f"flagged documents: {sum(s['flagged'] for s in found['ai_scores'])} of {len(found['ai_scores'])}")
+    flagged = found["flagged_documents"] if "flagged_documents" in found else sum(s["flagged"] for s in found["ai_scores"])
+    print(f"flagged documents: {flagged} of {found['meta']['num_docs']}")
     if config.benchmark:
         print(json.dumps({"threads": config.threads_used, "mode": config.mode} | found["benchmark"]))
     return OK

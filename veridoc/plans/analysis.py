@@ -82,9 +82,13 @@ def flagged_in_order(result: Result) -> DataFrame:
     return result.flagged.join(result.pairs.select("a", "b", "first_band", "first_key"), ["a", "b"]).orderBy("first_band", "first_key", "a", "b")
 
 
-def report(result: Result) -> dict:
+def _meta(config: Config, documents: int) -> dict:
+    return {"num_docs": documents, "threads_used": config.threads_used, "mode": config.mode, "sim_threshold": config.sim_threshold, "ai_threshold": config.ai_threshold}
+
+
+def report(result: Result, counts: dict[str, int] | None = None) -> dict:
     """The report as a dictionary, for at most sinks.DENSE_DOCUMENTS documents."""
-    counts = run_stages(result)
+    counts = counts or run_stages(result)
     if counts["documents"] > sinks.DENSE_DOCUMENTS:
         raise ValueError(f"a dense matrix is made for {sinks.DENSE_DOCUMENTS} documents at most; write the tables instead")
     docs = result.documents.select("doc_id", "filename", "bytes").orderBy("doc_id").collect()
@@ -101,7 +105,7 @@ def report(result: Result) -> dict:
     times["total"] = sum(times.values())
     config = result.config
     return {
-        "meta": {"num_docs": len(docs), "threads_used": config.threads_used, "mode": config.mode, "sim_threshold": config.sim_threshold, "ai_threshold": config.ai_threshold},
+        "meta": _meta(config, len(docs)),
         "documents": [{"doc_id": d.doc_id, "filename": d.filename, "bytes": d.bytes} for d in docs],
         "similarity_matrix": matrix,
         "flagged_pairs": flagged,
@@ -110,35 +114,61 @@ def report(result: Result) -> dict:
     }
 
 
+def long_report(result: Result, counts: dict[str, int]) -> dict:
+    """The report of any number of documents: counts alone, as the rows are in the tables."""
+    times = dict(result.stage_times_ms)
+    times["write_outputs"] = 0.0
+    times["total"] = sum(times.values())
+    return {
+        "meta": _meta(result.config, counts["documents"]),
+        "flagged_documents": result.authorship.where("flagged").count(),
+        "tables": list(sinks.TABLES),
+        "benchmark": {"stage_times_ms": times, "candidate_generation": {k: counts[k] for k in ("total_pairs", "candidate_pairs", "flagged_pairs")}},
+    }
+
+
+def write_long(folder: str, result: Result) -> None:
+    """The tables, and ai_scores.csv as a folder of parts."""
+    sinks.write_tables(folder, result.documents, result.similarity_long(), flagged_in_order(result), result.authorship)
+    sinks.scores_csv(result.authorship, f"{folder}/ai_scores.csv")
+
+
 def normalise(found: dict, job_id: str, wall_ms: float | None = None) -> dict:
-    """The report in the shape that clients read: file names as doc_a and doc_b, combined as score."""
+    """The report in the shape that clients read: file names as doc_a and doc_b, combined as score.
+    A long report has no rows; `tables` then names the tables that hold them."""
     times = found.get("benchmark", {}).get("stage_times_ms", {})
     return {
         "job_id": job_id,
-        "num_docs": found.get("meta", {}).get("num_docs", len(found["documents"])),
-        "documents": [d["filename"] for d in found["documents"]],
-        "matrix": found["similarity_matrix"],
-        "flagged_pairs": [{"doc_a": p["filename_a"], "doc_b": p["filename_b"], "cosine": p["cosine"], "rabin_karp": p["rabin_karp"], "score": p["combined"]} for p in found["flagged_pairs"]],
-        "ai_scores": [{"filename": s["filename"], "mean_perplexity": s["mean_perplexity"], "ppl_variance": s["perplexity_variance"], "ai_score": s["ai_score"], "flagged": s["flagged"]} for s in found["ai_scores"]],
+        "num_docs": found.get("meta", {}).get("num_docs", len(found.get("documents", []))),
+        "documents": [d["filename"] for d in found.get("documents", [])],
+        "matrix": found.get("similarity_matrix"),
+        "flagged_pairs": [{"doc_a": p["filename_a"], "doc_b": p["filename_b"], "cosine": p["cosine"], "rabin_karp": p["rabin_karp"], "score": p["combined"]} for p in found.get("flagged_pairs", [])],
+        "ai_scores": [{"filename": s["filename"], "mean_perplexity": s["mean_perplexity"], "ppl_variance": s["perplexity_variance"], "ai_score": s["ai_score"], "flagged": s["flagged"]} for s in found.get("ai_scores", [])],
         "runtime_ms": times.get("total", wall_ms),
         "speedup": None,
         "meta": found.get("meta", {}),
         "benchmark": found.get("benchmark", {}),
-    }
+    } | ({"tables": found["tables"]} if "tables" in found else {})
 
 
 def analyze_folder(spark: SparkSession, config: Config, stopwords_path: str | None = None) -> dict:
-    """Reads a folder, runs the analysis, writes the outputs, returns the report."""
+    """Reads a folder, runs the analysis, writes the outputs, returns the report; beyond sinks.DENSE_DOCUMENTS
+    documents the long form is written and the report has counts alone."""
     documents = readers.from_folder(spark, config.input)
     result = analyze(spark, documents, config, readers.read_stopwords(spark, stopwords_path), readers.read_corpus(spark, config.corpus))
     try:
-        found = report(result)
+        counts = run_stages(result)
+        dense = counts["documents"] <= sinks.DENSE_DOCUMENTS
+        found = report(result, counts) if dense else long_report(result, counts)
         began = time.time()
-        sinks.write_report(config.output, found)
+        if dense:
+            sinks.write_report(config.output, found)
+        else:
+            write_long(config.output, result)
         times = found["benchmark"]["stage_times_ms"]
         times["write_outputs"] = (time.time() - began) * 1000
         times["total"] += times["write_outputs"]
-        sinks.write_report(config.output, found)
+        sinks.write_json(config.output, found)
         return found
     finally:
         result.close()

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import csv_field
 
 DENSE_DOCUMENTS = 2000
+TABLES = ("documents", "similarity", "flagged_pairs", "ai_scores")
 
 
 def matrix_lines(names: list[str], cells: dict[tuple[int, int], float]) -> Iterable[str]:
@@ -39,11 +40,16 @@ def write_report(folder: str, report: dict) -> dict[str, str]:
     cells = {(i, j): v for i, row in enumerate(report["similarity_matrix"]) for j, v in enumerate(row)}
     _write(paths["matrix"], matrix_lines(names, cells))
     _write(paths["scores"], score_lines(report["ai_scores"]))
-    with open(paths["report"], "w", encoding="utf-8") as file:
-        file.write(report_json(report))
+    write_json(folder, report)
     return paths
 
 
+def write_json(folder: str, report: dict) -> None:
+    os.makedirs(folder, exist_ok=True)
+    with open(os.path.join(folder, "report.json"), "w", encoding="utf-8") as file:
+        file.write(report_json(report))
+
+
 class _Fixed(float):
     """A number written with so many digits."""
 
@@ -83,11 +89,11 @@ def _dump(value, indent: str = "") -> str:
 
 def write_tables(folder: str, documents: DataFrame, long: DataFrame, flagged: DataFrame, scores: DataFrame) -> None:
     """The results of any number of documents as Parquet, the matrix in its long form, written in parallel."""
-    for name, df in (("documents", documents.drop("text")), ("similarity", long), ("flagged_pairs", flagged), ("ai_scores", scores)):
+    for name, df in zip(TABLES, (documents.drop("text"), long, flagged, scores)):
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
 def scores_csv(scores: DataFrame, path: str) -> None:
     """ai_scores.csv of any number of documents, as a folder of parts."""
     text = lambda c: F.format_string("%.3f", c)
-    scores.select("filename", text(F.col("mean_perplexity")).alias("mean_perplexity"), text(F.col("perplexity_variance")).alias("ppl_variance"), text(F.col("ai_score")).alias("ai_score"), "flagged").write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    scores.select("filename", text(F.col("mean_perplexity")).alias("mean_perplexity"), text(F.col("perplexity_variance")).alias("ppl_variance"), text(F.col("ai_score")).alias("ai_score"), "flagged").write.option("header", True).option("quote", '"').option("escape", '"').mode("overwrite").csv(path)
