@@ -73,6 +73,45 @@ def test_join_against_brute_force(spark, rows):
     assert all((key, key, 0) in found for key in wordless)
 
 
+@pytest.mark.parametrize("members, star", [(24, 10_000), (24, 8), (1024, 8)])
+def test_nodes_of_many_chunks(spark, rows, monkeypatch, members, star):
+    """With and without centres, in nodes of one chunk and of many."""
+    monkeypatch.setattr(jaccard, "MEMBERS", members)
+    monkeypatch.setattr(jaccard, "STAR", star)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = Counter((r.id, r.class_id, r.n_links) for r in jaccard.jaccard_join(docs).collect() if r.n_links)
+    assert found == Counter((key, c, n) for (key, _), (c, n) in zip(rows, brute(rows)) if n)
+
+
+def test_rows_of_a_group_are_linear(spark, monkeypatch):
+    """Of 500, 1000 and 2000 near copies no join sees more rows a document in the larger group, and none of
+    their pairs is verified."""
+    seen = []
+    monkeypatch.setattr(jaccard, "settle", lambda df, label, real=jaccard.settle: seen.append((label, real(df, label))) or seen[-1][1])
+    monkeypatch.setattr(jaccard, "discard", lambda df: None)
+    random.seed(4)
+    base = random.choices([f"w{i}" for i in range(3000)], k=200)
+    for n in (500, 2000):
+        seen.clear()
+        copies = [(i, " ".join(base[: i % 200] + [f"x{i}"] + base[i % 200 + 1 :])) for i in range(n)]
+        assert {r.n_links for r in jaccard.jaccard_join(spark.createDataFrame(copies, "doc_id long, text string")).collect()} == {n - 1}
+        counts = [(label, df.count()) for label, df in seen]
+        assert all(k <= jaccard.TREES * n for _, k in counts) and dict(counts)["members"] < n // 2
+
+
+def test_a_target_that_no_prefix_reaches_compares_all(spark):
+    texts = ["a b c d e f g h i j k l", "a b c d e f x y z w v u", "q w e r t y u i o p a s"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = jaccard.jaccard_join(docs, 0.1, 0.999).orderBy("id").collect()
+    assert [(r.n_links, r.class_id, r.recall) for r in found] == [(1, 0, 1.0), (1, 0, 1.0), (0, 2, 1.0)]
+
+
+def test_which_repeated_row_stays_does_not_depend_on_order(spark):
+    rows = [(1, "a b c d e f", x) for x in range(20)]
+    stay = [jaccard.one_of_each(spark.createDataFrame(r, "doc_id long, text string, kept int").repartition(4)).collect() for r in (rows, rows[::-1])]
+    assert len(stay[0]) == 1 and stay[0] == stay[1]
+
+
 def test_one_of_each_class_stays(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     kept = [r.asDict() for r in jaccard.one_of_each(docs).collect()]

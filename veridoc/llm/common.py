@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..scratch import clear_scratch, discard, scratch_path, settle
 
-__all__ = ["by_text_size", "clear_scratch", "discard", "read_table", "scratch_path", "settle"]
+__all__ = ["apart", "by_text_size", "clear_scratch", "discard", "read_table", "scratch_path", "settle"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,3 +26,9 @@ def by_text_size(texts: list[str], limit: int) -> Iterator[range]:
         size += len(text)
     if start < len(texts):
         yield range(start, len(texts))
+
+
+def apart(sums: DataFrame, key: str) -> DataFrame:
+    """sums, one row for each value of a long key, under keys that the planner can't take for those it was summed
+    by: a join then shuffles both of its sides itself, and only such a join has its hot keys split."""
+    return sums.withColumn(key, F.col(key).bitwiseXOR(F.lit(0).cast("long")))

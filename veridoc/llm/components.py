@@ -2,8 +2,8 @@
 
 Each round writes its edges in the shared scratch folder, so lineage stays short and a lost executor costs a
 round at most. Nothing but a count and a checksum of the edges comes to the driver. A node with very many
-neighbours is a key of plain joins, which adaptive execution splits, and of minima, which combine before the
-shuffle.
+neighbours is a key of minima, which combine before the shuffle, and of joins whose two sides are shuffled for
+the join alone, which adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, settle
+from .common import apart, discard, settle
 
 MOST_ROUNDS = 60
 
@@ -22,10 +22,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     state = _state(now)
     for _ in range(MOST_ROUNDS):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        least = apart(both.groupBy("u").agg(F.min("v").alias("m")), "u")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(apart(least, "u"), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = settle(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         old, now = now, after
         discard(old)
