@@ -3,9 +3,10 @@
 Three base patterns always count: `assign`, `access` and `hex` (below). On top of them, every line with an
 assignment sign is lexed into (name, expression) pairs: `name = value`, `name: value`, `name := value`,
 `name => value`, `name += value`, `name: type = value`, blanks or none around the sign, with names bare, quoted or
-subscripted (`cfg["db"]["pwd"]` is the name cfg.db.pwd), and values quoted, bare, joined by `+`, or other names. Names
-bound to literals are constants: a later `password = NAME` leads back to the literal NAME was bound to. Each
-literal scores by the sensitive words of the names it reaches times how random it looks; from THRESHOLD on it
+subscripted (`cfg["db"]["pwd"]` is the name cfg.db.pwd), and values quoted, bare, joined by `+`, or other names. A
+value may run over lines: lists and calls in brackets, strings in triple quotes, and items or blocks below a key, up
+to the next line with an assignment. Names bound to literals are constants: `password = NAME` leads back to the
+literal NAME was bound to last, or, if it isn't bound before, to the one it is bound to next. Each literal scores by the sensitive words of the names it reaches times how random it looks; from THRESHOLD on it
 is a span of kind `literal`, unless a base span already touches it.
 
 Spans are in code points of the original text, end exclusive. Defined results: null and empty texts have no
@@ -80,17 +81,57 @@ def literal_score(value: str) -> float:
     return min(1.0, entropy / 3.0) * min(1.0, 0.5 + n / 24)
 
 
+# Bare values hold signs that names don't.
+_BARE = re.compile(r"""[^\s"'`,;()\[\]{}<>=:|\\]+""")
+_ITEM = re.compile(r"""[ \t]*-[ \t]+("[^"\n]*"|'[^'\n]*'|[^\s"'#][^\s"']*)[ \t]*(?:#.*)?$""")
+_BLOCK = re.compile(r"[ \t]+(\S+)[ \t]*$")
+
+
 def pairs(text: str) -> list[tuple[str, list[tuple[int, int]], list[str]]]:
     """(name, spans of the literals in its value, other names in its value), in the order of the text."""
     out = []
     start = 0
+    more = None  # the literals of a value that goes on, and how: by a bracket's depth, in quotes, or below a key
     for line in text.split("\n"):
-        if "=" in line or ":" in line:
-            _line_pairs(line, start, out)
+        if more and more[1] in ('"""', "'''"):
+            end = line.find(more[1])
+            _stripped(line[: end if end >= 0 else None], start, more[0])
+            more = None if end >= 0 else more
+        elif "=" in line or ":" in line:
+            more = _line_pairs(line, start, out)
+        elif more and isinstance(more[1], int):
+            depth = _in_brackets(line, 0, start, more[1], more[0])
+            more = (more[0], depth) if depth > 0 and line.strip() else None
+        elif more:
+            m = (_BLOCK if more[1] == "block" else _ITEM).match(line)
+            if m:
+                quoted = m[1][0] in "\"'"
+                more[0].append((start + m.start(1) + quoted, start + m.end(1) - quoted))
+            else:
+                more = None
         start += len(line) + 1
     return out
 
 
+def _stripped(piece: str, start: int, literals: list) -> None:
+    """A line of a block string as a literal."""
+    if inside := piece.strip():
+        a = start + len(piece) - len(piece.lstrip())
+        literals.append((a, a + len(inside)))
+
+
+def _in_brackets(line: str, at: int, start: int, depth: int, literals: list) -> int:
+    """Gathers the strings of a line from a place in brackets on; the depth at the end of the line or of the brackets."""
+    for m in _LEX.finditer(line, at):
+        if m.lastgroup == "string":
+            literals.append((start + m.start() + 1, start + m.end() - 1))
+        elif m.lastgroup == "other":
+            depth += (m[0] in "[(") - (m[0] in "])")
+            if depth <= 0:
+                return 0
+    return depth
+
+
 def _opening(line: str, tokens: list, i: int) -> int:
     """The index of the bracket that token i closes, or -1."""
     depth = 0
@@ -177,9 +218,11 @@ def _annotated(line: str, tokens: list, first: int, end: int) -> str | None:
     return None if before and line[before[1] : before[2]] in _NO_TARGET else name
 
 
-def _line_pairs(line: str, start: int, out: list) -> None:
+def _line_pairs(line: str, start: int, out: list) -> tuple[list, int | str] | None:
+    """Adds the pairs of a line. Returns the literals of its last value and how it goes on, if it may."""
+    more = None
     tokens = [(m.lastgroup, m.start(), m.end()) for m in _LEX.finditer(line)]
-    for i in range(1, len(tokens) - 1):
+    for i in range(1, len(tokens)):
         if tokens[i][0] != "set":
             continue
         sign = line[tokens[i][1] : tokens[i][2]]
@@ -191,59 +234,96 @@ def _line_pairs(line: str, start: int, out: list) -> None:
                 targets = [declared] + [n for n in targets if name_score(n) or not _is_type(n)]
         if not targets:
             continue
-        literals, names = [], []
+        literals, names, more = [], [], None
         if sign == "+=" or sign == "=" and targets[-1].endswith("+"):
             targets = [t.rstrip("+") for t in targets]
             names += targets
-        j = i + 1
-        while j < len(tokens):
-            kind, a, b = tokens[j]
-            if kind == "string":
-                literals.append((start + a + 1, start + b - 1))
-            elif kind == "word":
-                names.append(line[a:b].lstrip("$"))
-                padding = j + 1 < len(tokens) and tokens[j + 1][0] == "set" and tokens[j + 1][1] == b and _PADDING.match(line, b)
-                if padding:
-                    b = padding.end()
-                    j += 1
-                literals.append((start + a, start + b))
-                while j + 1 < len(tokens) and tokens[j + 1][1] == tokens[j][2] and line[tokens[j + 1][1]] in "[{":
-                    closed = _closing(line, tokens, j + 1)
-                    if closed < 0:
-                        break
-                    names.append(f"{names[-1]}.{_joined(line, tokens[j + 1 : closed])}")
-                    j = closed
-            else:
-                break
-            j += 1
-            if j >= len(tokens) or tokens[j][0] != "plus":
-                break
-            j += 1
-        if literals:
+        rest = line[tokens[i][2] :].strip()
+        if sign == ":" and rest in ("", "|", "|-", ">", ">-"):
+            more = literals, "block" if rest else "items"
+        elif rest[:3] in ('"""', "'''"):
+            at = line.index(rest[:3], tokens[i][2]) + 3
+            end = line.find(rest[:3], at)
+            _stripped(line[at : end if end >= 0 else None], start + at, literals)
+            more = (literals, rest[:3]) if end < 0 else None
+        else:
+            more = _value(line, start, tokens, i + 1, literals, names)
+        if literals or more:
             out += [(t, literals, names) for t in targets]
+    return more
+
+
+def _value(line: str, start: int, tokens: list, j: int, literals: list, names: list) -> tuple[list, int | str] | None:
+    """Gathers literals and names of the value at token j; as `_line_pairs` if it goes on."""
+    while j < len(tokens):
+        kind, a, b = tokens[j]
+        if kind == "other" and line[a] in "[(":
+            depth = _in_brackets(line, a, start, 0, literals)
+            return (literals, depth) if depth > 0 else None
+        if kind == "string":
+            literals.append((start + a + 1, start + b - 1))
+        elif kind == "word":
+            word = line[a:b].lstrip("$")
+            names += [word, *(word.split("+") if "+" in word else [])]
+            wide = _BARE.match(line, a)
+            padding = j + 1 < len(tokens) and tokens[j + 1][0] == "set" and tokens[j + 1][1] == b and _PADDING.match(line, b)
+            if padding:
+                b = padding.end()
+                j += 1
+            elif wide and wide.end() > b:  # a bare value with signs in it is one literal
+                b = wide.end()
+                while j + 1 < len(tokens) and tokens[j + 1][1] < b:
+                    j += 1
+            literals.append((start + a, start + b))
+            if j + 1 < len(tokens) and tokens[j + 1][1] == b and line[b] == "(":  # a call
+                depth = _in_brackets(line, b, start, 0, literals)
+                return (literals, depth) if depth > 0 else None
+            while j + 1 < len(tokens) and tokens[j + 1][1] == tokens[j][2] and line[tokens[j + 1][1]] in "[{":
+                closed = _closing(line, tokens, j + 1)
+                if closed < 0:
+                    break
+                names.append(f"{names[-1]}.{_joined(line, tokens[j + 1 : closed])}")
+                j = closed
+        else:
+            break
+        j += 1
+        if j >= len(tokens) or tokens[j][0] != "plus":
+            break
+        j += 1
+    return None
 
 
 def lexed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of literals whose names, its own or those it is passed on to, are sensitive.
 
-    An assignment points back at those that its other names were bound by then; scores are handed
-    back along these from the last assignment to the first, so each one is visited once."""
+    An assignment points at those that its other names are bound by then, or next. From the surest scores down
+    each is handed on along these, so an assignment is visited once, at the highest score that reaches it."""
     found = pairs(text)
     bound: dict[str, int] = {}
     sources: list[list[int]] = []
+    ahead: dict[str, list[int]] = {}
     scores: list[float] = []
     for i, (name, _, names) in enumerate(found):
         sources.append([bound[other] for other in names if other in bound])
+        for other in names:
+            if other not in bound:
+                ahead.setdefault(other, []).append(i)
         scores.append(name_score(name))
+        for k in ahead.pop(name, ()):
+            if k != i:
+                sources[k].append(i)
         bound[name] = i
     reach: dict[tuple[int, int], float] = {}
-    for i in range(len(found) - 1, -1, -1):
-        score = scores[i]
-        if score:
-            for span in found[i][1]:
-                reach[span] = max(reach.get(span, 0.0), score)
-            for k in sources[i]:
-                scores[k] = max(scores[k], score)
+    visited = [False] * len(found)
+    for first in sorted((i for i, s in enumerate(scores) if s), key=lambda i: -scores[i]):
+        score, open_ = scores[first], [first]
+        while open_:
+            i = open_.pop()
+            if not visited[i]:
+                visited[i] = True
+                for span in found[i][1]:
+                    reach[span] = max(reach.get(span, 0.0), score)
+                open_ += sources[i]
     return [(a, 3, b) for (a, b), score in reach.items() if score * literal_score(text[a:b]) >= THRESHOLD]
 
 
