@@ -232,10 +232,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return fit(features, np.concatenate(sizes), np.array([len(s) for s in sizes]), good)
 
 
-def with_scores(docs: DataFrame, field: LineField | None, text: str = "text") -> DataFrame:
-    """docs with score and predicted."""
-    docs = docs.drop("score", "predicted")
-    schema = docs.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
+def with_scores(docs: DataFrame, field: LineField | None, text: str = "text", score_name: str = "score", predicted_name: str = "predicted") -> DataFrame:
+    """docs with score and predicted, which take the place of columns of these names."""
+    docs = docs.drop(score_name, predicted_name)
+    schema = docs.withColumns({score_name: F.lit(0.0), predicted_name: F.lit(0)}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
