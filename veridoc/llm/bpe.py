@@ -90,20 +90,21 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class PairTable:
     """Joinable pairs of ids and the id they give, open-addressed for lookups of whole arrays."""
 
-    BITS = 20
     NONE = np.int32(1 << 30)
+    FREE = np.uint64((1 << 64) - 1)
 
     def __init__(self, ranks: dict[bytes, int]):
-        pairs = [(ranks[t[:i]] << 16 | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        pairs = [(ranks[t[:i]] << 32 | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         keys = np.array([p[0] for p in pairs], np.uint64)
         joined = np.array([p[1] for p in pairs], np.int32)
-        size = 1 << self.BITS
-        self.keys = np.full(size, 1 << 40, np.uint64)
+        self.bits = max(16, (4 * len(pairs)).bit_length())  # at most half full
+        size = 1 << self.bits
+        self.keys = np.full(size, self.FREE, np.uint64)
         self.joined = np.full(size, self.NONE, np.int32)
         slot = self._slot(keys)
         todo = np.arange(len(keys))
         while len(todo):  # those that come first to a free slot take it; the rest move on
-            free = self.keys[slot[todo]] == 1 << 40
+            free = self.keys[slot[todo]] == self.FREE
             _, first = np.unique(slot[todo[free]], return_index=True)
             placed = todo[free][first]
             self.keys[slot[placed]], self.joined[slot[placed]] = keys[placed], joined[placed]
@@ -112,20 +113,20 @@ class PairTable:
         self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).astype(np.int64)
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def look_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        keys = left.astype(np.uint64) << np.uint64(16) | right.astype(np.uint64)
+        keys = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
         slot = self._slot(keys)
         found = self.keys[slot]
         out = np.where(found == keys, self.joined[slot], self.NONE)
-        more = np.flatnonzero((found != keys) & (found != 1 << 40))
+        more = np.flatnonzero((found != keys) & (found != self.FREE))
         while len(more):
-            slot[more] = (slot[more] + 1) & ((1 << self.BITS) - 1)
+            slot[more] = (slot[more] + 1) & ((1 << self.bits) - 1)
             found = self.keys[slot[more]]
             hit = found == keys[more]
             out[more[hit]] = self.joined[slot[more[hit]]]
-            more = more[~hit & (found != 1 << 40)]
+            more = more[~hit & (found != self.FREE)]
         return out
 
     def merge_all(self, words: list[bytes], width: int) -> list[bytes]:
