@@ -4,7 +4,8 @@ Documents are ordered by range partitions on the key. Each task encodes its docu
 together (an end id after each), and writes one Arrow IPC file whose record batches hold fixed-size lists:
 `ids` (16 or 32 bits each, by the vocabulary) and `mask` (one bit each, 0 on the padding of the last
 sequence). All batches but the last hold SEQUENCES_PER_BATCH sequences, so sequence i is found by division
-and read from a memory map without a copy. Beside it lies an index file (key, start, n_tokens), start counted
+and read from a memory map without a copy: ids as a NumPy view, the mask as an Arrow view of its bits (NumPy has
+no arrays of bits, so turning one into such an array copies it). Beside it lies an index file (key, start, n_tokens), start counted
 within the file. A manifest of a row for each file, in key order, gives each file's first id.
 
 A file is written under a name of its own and then renamed, so a task that runs twice leaves one whole file.
@@ -113,7 +114,7 @@ class SequenceWriter:
 
 
 class SequenceFile:
-    """Random access to a file of SequenceWriter; sequences and masks are views of the mapped file."""
+    """Random access to a file of SequenceWriter; sequences and masks are views of the mapped file, ids in NumPy, masks in Arrow."""
 
     def __init__(self, fs: pafs.FileSystem, path: str):
         self.source = pa.memory_map(path) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(path)
@@ -127,9 +128,9 @@ class SequenceFile:
         k = i % SEQUENCES_PER_BATCH
         return self.batch(i // SEQUENCES_PER_BATCH)[k * self.sequence : (k + 1) * self.sequence]
 
-    def mask_at(self, i: int) -> np.ndarray:
+    def mask_at(self, i: int) -> pa.BooleanArray:
         lists = self.file.get_batch(i // SEQUENCES_PER_BATCH).column("mask")
-        return lists[i % SEQUENCES_PER_BATCH].values.to_numpy(zero_copy_only=False)
+        return lists[i % SEQUENCES_PER_BATCH].values
 
     def ids(self, start: int, count: int) -> np.ndarray:
         """Any run of ids, over as many batches as it spans."""
