@@ -114,7 +114,7 @@ def test_token_files(spark, tmp_path):
     flat = [i for ids in expected for i in ids]
     last = (name.n_tokens - 1) // 128
     assert file.sequence_at(1).tolist() == flat[128:256]
-    assert file.mask_at(last).sum() == name.n_tokens - 128 * last and file.mask_at(0).all()
+    assert file.mask_at(last).true_count == name.n_tokens - 128 * last and file.mask_at(0).true_count == 128
     view = file.sequence_at(0)
     assert not view.flags.owndata and not view.flags.writeable  # no copy of the mapped file
     empty = token_files.write_token_files(docs.where("false"), f"file://{tmp_path}/e", JSON)
@@ -134,3 +134,12 @@ def test_token_files_with_added_tokens(spark, tmp_path):
         ids = [*library.encode(text, add_special_tokens=False).ids, 0]
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
+
+
+def test_pairs_of_a_vocabulary_beyond_16_bits():
+    ranks = {bytes([i]): i for i in range(256)} | {bytes([i, j]): 256 + 256 * i + j for i in range(256) for j in range(256)}
+    ranks |= {b"abcd": 70_000, b"abcdef": 1_000_000}
+    table = bpe.PairTable(ranks)
+    left = np.array([ranks[b"ab"], ranks[b"abcd"], 97, ranks[b"cd"]], np.int32)
+    right = np.array([ranks[b"cd"], ranks[b"ef"], 98, 97], np.int32)
+    assert table.look_up(left, right).tolist() == [70_000, 1_000_000, ranks[b"ab"], table.NONE]

@@ -1,10 +1,13 @@
+import json
 import math
 import random
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from veridoc.llm import chat, licenses, quality, secrets, sharding
@@ -20,33 +23,62 @@ def placed(rows, tree):
     return {r.doc_id: (r.region, r.rack, r.shard) for r in sharding.assign_shards(rows, tree).collect()}
 
 
-def test_tree_moves_rows_only_into_what_is_new(rows):
-    for n in (5, 6, 24, 25):
-        old, new = placed(rows, sharding.HashTree(n)), placed(rows, sharding.HashTree(n + 1))
-        assert all(old[i] == new[i] or new[i][2] == n for i in old)
-        count = Counter(x[2] for x in old.values())
-        assert set(count) == set(range(n)) and max(count.values()) < 1.5 * 6000 / n
+def drawn(key, level, nodes):
+    def draw(node):
+        seed = xxhash.xxh64_intdigest(struct.pack("<q", key), 42) if key is not None else 42
+        for x in (level, node["id"]):
+            seed = xxhash.xxh64_intdigest(struct.pack("<i", x), seed)
+        return -math.log(((seed >> 11) + 0.5) / (1 << 53)) / node["weight"], node["id"]
+
+    return min(map(draw, nodes))[1]
 
 
-def test_weights_move_rows_only_in_and_out_of_what_changes(rows):
-    old, new = placed(rows, sharding.HashTree(12)), placed(rows, sharding.HashTree(12, weights={3: 2.0}))
-    assert all(old[i] == new[i] or new[i][2] == 3 for i in old)
+def test_tree_against_a_plain_descent(spark, rows):
+    tree = sharding.HashTree.even(11, weights={3: 2.5, 4: 0, 5: 0, 7: 0.5})
+    regions, racks, shards = tree.children()
+    with_null = rows.where("doc_id < 500").unionByName(spark.createDataFrame([(None, "a")], "doc_id long, slot string"))
+    found = placed(with_null, tree)
+    for key, at in found.items():
+        region = drawn(key, 0, regions)
+        rack = drawn(key, 1, racks[region])
+        assert at == (region, rack, drawn(key, 2, shards[rack])) and at[2] not in (4, 5)
+    assert {x[2] for x in found.values()} == set(range(11)) - {4, 5} and len(found) == 501
+
+
+def test_tree_moves_rows_only_into_what_is_new(rows):
+    for n in (1, 5, 6, 24):
+        tree = sharding.HashTree.even(n)
+        old, new = placed(rows, tree), placed(rows, tree.grown())
+        assert all(old[i] == new[i] or new[i][2] == n for i in old)
+        for count in (Counter(x[2] for x in old.values()), Counter(x[2] for x in new.values())):
+            assert set(count) <= set(range(n + 1)) and max(count.values()) < 1.5 * 6000 / len(count)
+
+
+def test_weights_move_rows_only_in_subtrees_that_change(rows):
+    even, heavy, drained = sharding.HashTree.even(12), sharding.HashTree.even(12, weights={3: 2.0}), sharding.HashTree.even(12, weights={3: 0})
+    old, new = placed(rows, even), placed(rows, heavy)
+    for i in old:  # shard 3 is in rack 1 of region 0
+        assert new[i][0] in (old[i][0], 0)
+        if new[i][0] == old[i][0]:
+            assert new[i][1] in (old[i][1], 1)
+            assert new[i] == old[i] or new[i][1] != old[i][1] or new[i][2] == 3
     assert 1.5 < sum(x[2] == 3 for x in new.values()) / sum(x[2] == 3 for x in old.values()) < 2.4
-    drained = placed(rows, sharding.HashTree(12, weights={3: 0}))
-    assert all(drained[i] == old[i] for i in old if old[i][2] != 3) and not any(x[2] == 3 for x in drained.values())
-    with pytest.raises(ValueError):
-        sharding.HashTree(0)
+    less = placed(rows, drained)
+    assert all(less[i] == old[i] or old[i][0] == 0 for i in old) and not any(x[2] == 3 for x in less.values())
+    for bad in (lambda: sharding.HashTree.even(0), lambda: sharding.HashTree.even(1, weights={0: 0}), lambda: sharding.HashTree.even(2, weights={0: -1})):
+        with pytest.raises(ValueError):
+            bad()
 
 
 def test_slots_have_no_gaps(spark, rows, monkeypatch):
     monkeypatch.setattr(sharding, "ROWS_PER_BUCKET", 500)
     more = rows.unionByName(spark.createDataFrame([(None, "a"), (5, "b"), (5, "b")], "doc_id long, slot string"))
-    found = sharding.number_slots(sharding.assign_shards(more, sharding.HashTree(4)))
+    found = sharding.number_slots(sharding.assign_shards(more, sharding.HashTree.even(4)))
     by = {}
     for r in found.collect():
         by.setdefault(r.shard, []).append(r.slot)
     assert sum(map(len, by.values())) == 6003 and all(sorted(s) == list(range(len(s))) for s in by.values())
-    assert sharding.number_slots(sharding.assign_shards(rows.where("false"), sharding.HashTree(4))).count() == 0
+    assert sharding.number_slots(sharding.assign_shards(rows.where("false"), sharding.HashTree.even(4))).count() == 0
 
 
 def test_sharding_query(spark, sf_dir):
@@ -112,6 +144,55 @@ def test_secrets_without_blanks_subscripted_and_annotated(line):
     assert marked(line.format("xK9!mQ2#vL7p")) == [("literal", "xK9!mQ2#vL7p")]
 
 
+@pytest.mark.parametrize(
+    "lines",
+    [
+        "pwd={}",
+        "pwd: {}",
+        'os.environ["DB_PASSWORD"] = "{}"',
+        'passwords:\n  - "{}"\n',
+        "password:\n  - {}\n  - b\nother: x",
+        "pwd: |\n  {}\nnext: 1",
+        'pwd = """{}"""',
+        "pwd = '''\n  {}\n'''\nx = 1",
+        'pwd = [\n  "a",\n  "{}",\n]\n',
+        'pwd = ("a"\n   "{}")',
+        'pwd = decode("{}")',
+        'pwd = join(["a",\n "{}"])',
+        'pwd = A\nA = "{}"',
+        'A="a"\nB="{}"\npwd=A+B',
+    ],
+)
+def test_secrets_over_lines_and_in_brackets(lines):
+    lines = lines.replace("passwords", "password")
+    assert marked(lines.format("xK9!mQ2#vL7p")) == [("literal", "xK9!mQ2#vL7p")]
+
+
+def test_values_end():
+    assert marked('pwd = [\n"a"\n]\n"xK9!mQ2#vL7p"') == [] and marked('pwd = (\n\n"xK9!mQ2#vL7p"') == []
+    assert marked('width = [\n"xK9!mQ2#vL7p"\n]') == [] and marked('pwd:\n\n  - xK9!mQ2#vL7p') == []
+    assert marked('A = B\nB = A\npwd = A\nB = "xK9!mQ2#vL7p"') == []  # bound anew behind its use
+    long = 'pwd = (\n' + '"a" (\n' * 20_000 + "x" * 200_000
+    assert marked(long) == []
+
+
+def test_secrets_query_against_brute_force(spark, sf_dir):
+    """Base spans by the contract's own patterns, tried one after the other."""
+    import hashlib
+    import re
+
+    name = "|".join("".join(f"[{c}{c.upper()}]" for c in w) for w in ("password", "passwd", "secret", "token")) + "|[aA][pP][iI]_?[kK][eE][yY]"
+    kinds = [("assign", rf"""({name})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 12), ("access", "AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 18), ("hex", "[0-9a-f]+", lambda m: len(m[0]) >= 16)]
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = secrets.op8_secrets(spark, sf_dir).collect()
+    assert len(rows) == len(texts) and sum(r.n_assign + r.n_access + r.n_hex for r in rows) > 0
+    for r in rows:
+        base = sorted((m.start(), k, f"{kind}:{m.start()}:{m.end()}") for k, (kind, pattern, good) in enumerate(kinds) for m in re.finditer(pattern, texts[r.doc_id]) if good(m))
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(x[1] == k for x in base) for k in range(3)]
+        assert r.base_sha256 == hashlib.sha256(",".join(x[2] for x in base).encode()).hexdigest()
+        assert {x[2] for x in base} <= set(r.spans.split(","))
+
+
 def test_secrets_keep_padding_and_bind_no_types():
     assert marked("pwd = YWJjZGVmZ2hpamtsbQ== x") == [("literal", "YWJjZGVmZ2hpamtsbQ==")]
     assert marked('x: str = "xK9!mQ2#vL7p"\npwd: str') == []
@@ -206,6 +287,69 @@ def test_calls_and_results_are_linked(spark):
     assert chat.format_chat(table.where("false"), schemas).count() == 0
 
 
+def test_calls_against_brute_force(spark, sf_dir):
+    """Random calls in random order, some without identifier or conversation, in cycles, twice or unanswered."""
+    random.seed(12)
+    turns, calls, answers = [], [], []
+    for conv in [*range(25), None]:
+        for turn in range(random.randrange(2, 7)):
+            each = []
+            for part in range(random.randrange(4)):
+                call = {"id": random.choice([None, *"abcdefgh"]), "name": "f", "arguments": random.choice(['{"b": 1, "a": "é\\"x"}', "[1]", "{}"]), "depends_on": random.sample("abcdefgh", random.choice([0, 0, 1, 2]))}
+                each.append(call)
+                calls.append((conv, turn, part + 1, call))
+            if each:
+                body = ",".join("{" + ("" if c["id"] is None else f'"id":"{c["id"]}",') + f'"name":"f","arguments":{c["arguments"]},"depends_on":{json.dumps(c["depends_on"])}' + "}" for c in each)
+                turns.append((conv, turn, "assistant", f'{{"tool_calls":[{body}]}}'))
+            else:
+                answer = random.choice("abcdefgh")
+                answers.append((conv, turn, answer))
+                turns.append((conv, turn, "tool", f'{{"tool_call_id":"{answer}","content":"ok"}}'))
+    random.shuffle(turns)
+    rows = chat.format_chat(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+
+    link = lambda c: (c[0], c[3]["id"] or (c[1], c[2]))
+    needs = {}
+    for c in calls:
+        needs.setdefault(link(c), set())
+    for c in calls:
+        if c[0] is not None:
+            needs[link(c)] |= {(c[0], d) for d in c[3]["depends_on"] if (c[0], d) in needs}
+    level, at = {}, 0
+    while now := [x for x in needs if x not in level and all(level.get(n, at) < at for n in needs[x])]:
+        level |= dict.fromkeys(now, at)
+        at += 1
+    first = {}
+    for c in calls:
+        if c[0] is not None and c[3]["id"]:
+            first[link(c)] = min(first.get(link(c), (99, 0)), c[1:3])
+    answered = {}
+    for conv, turn, answer in answers:
+        if conv is not None:
+            answered[conv, answer] = min(answered.get((conv, answer), 99), turn)
+    expected = []
+    for c in calls:
+        conv, turn, part, call = c
+        result = answered.get(link(c))
+        errors = [w for w, test in (("no identifier", call["id"] is None), ("no result", result is None), ("result before call", result is not None and result < turn), ("second call of this id", first.get(link(c), (turn, part)) != (turn, part)), ("cycle", conv is not None and link(c) not in level), ("arguments are no object", call["arguments"] == "[1]")) if test]
+        message = json.dumps({"arguments": json.loads(call["arguments"]), "id": call["id"] or "", "name": "f", "role": "assistant"}, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        expected.append((conv, turn, part, turn, 0 if conv is None else level.get(link(c)), "call", call["id"] or "", "; ".join(errors), message))
+    for conv, turn, answer in answers:
+        call = first.get((conv, answer))
+        errors = [w for w, test in (("no call", call is None), ("second result of this call", conv is not None and answered[conv, answer] < turn)) if test]
+        message = json.dumps({"content": "ok", "role": "tool", "tool_call_id": answer}, separators=(",", ":"))
+        expected.append((conv, turn, call[1] if call else 0, call[0] if call else turn, level.get((conv, answer)) if conv is not None else None, "result", answer, "; ".join(errors), message))
+    found = [(r.conv_id, r.turn, r.part, r.anchor, r.level, r.kind, r.call_id, r.errors, r.message) for r in rows]
+    assert Counter(found) == Counter(expected) and max(level.values()) >= 2 and len(level) < len(needs)
+    assert len(chat.op2_chat(spark, sf_dir).columns) == 10
+
+
+def test_levels_of_a_long_chain(spark, monkeypatch):
+    monkeypatch.setattr(chat, "ROUNDS_APART", 3)
+    calls = spark.createDataFrame([(1, f"={i}", [str(i - 1)]) for i in range(10)] + [(2, "=9", ["9"]), (None, "=1", ["1"])], "conv_id long, link string, depends_on array<string>")
+    assert {(r.conv_id, r.link): r.level for r in chat.call_levels(calls).collect()} == {**{(1, f"={i}"): i for i in range(10)}, (2, "=9"): None, (None, "=1"): 0}
+
+
 # ------------------------------------------------------------------------------------------------ licenses
 def test_licenses(spark):
     mit = licenses.TEMPLATES["mit-notice"]
@@ -216,6 +360,33 @@ def test_licenses(spark):
     assert len(found) == 11
     assert names == {0: ["mit-notice"], 1: ["mit"], 2: [], 3: [], 4: [], 5: ["apache-2.0"], 6: ["mit-notice"], 7: [], 8: ["gpl-3.0-notice", "mpl-2.0"], None: ["mit"]}
     assert licenses.find_licenses(docs.where("false")).count() == 0
-    random.seed(1)
-    own = licenses.find_licenses(docs.where("doc_id = 1"), {"mine": "five words make one shingle"}).first()
-    assert own.licenses == []
+    with pytest.raises(ValueError):
+        licenses.find_licenses(docs, {"mine": "only four words here"})
+
+
+def test_licenses_against_brute_force(spark, monkeypatch):
+    """Templates of all lengths in texts at all places, changed here and there; with and without the broadcast."""
+    random.seed(9)
+    vocabulary = [f"w{i}" for i in range(500)]
+    templates = {f"t{n}": " ".join(random.choices(vocabulary, k=n)) for n in (5, 6, 7, 9, 12, 13, 20, 27, 28, 29, 40, 60, 90, 200, 400)}
+    texts = []
+    for _ in range(150):
+        words = templates[random.choice(list(templates))].split()
+        for _ in range(random.choice([0, 0, 1, 1, 2, len(words) // 30, len(words) // 20])):
+            words[random.randrange(len(words))] = "changed"
+        texts.append(" ".join(random.choices(vocabulary, k=random.randrange(30)) + words + random.choices(vocabulary, k=random.randrange(30))))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+
+    def runs(text):
+        words = text.split()
+        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+    def held(text, name):
+        own = runs(templates[name])
+        return len(own & runs(text)) / len(own)
+
+    expected = {i: sorted((n, held(t, n)) for n in templates if held(t, n) >= 0.8) for i, t in enumerate(texts)}
+    assert sum(map(len, expected.values())) > 100
+    for most in (1_000_000, 10):
+        monkeypatch.setattr(licenses, "MOST_BROADCAST", most)
+        assert {r.doc_id: [tuple(x) for x in r.licenses] for r in licenses.find_licenses(docs, templates).collect()} == expected
