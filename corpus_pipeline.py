@@ -17,8 +17,9 @@ from veridoc.shipping import ship
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    scored = quality.with_scores(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
-    return scored.where(F.col("predicted") == 1).select(*docs.columns)
+    field = quality.train(docs, read_table(spark, sf_dir, "labels"))
+    scored = quality.with_scores(docs, field, score_name="__score", predicted_name="__predicted")
+    return scored.where(F.col("__predicted") == 1).select(*docs.columns)
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
