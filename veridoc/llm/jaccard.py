@@ -401,7 +401,7 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, recall: float
     roots = components(links.where("other IS NOT NULL").select(F.col("row").alias("a"), F.col("other").alias("b")))
     placed = sets.join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(counts.withColumnRenamed("row", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     least = placed.groupBy("root").agg(F.min("least_id").alias("class_id"))
-    placed = placed.join(least, "root").select("set", "rep", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "class_id", "root")
+    placed = placed.join(apart(least, "root"), "root").select("set", "rep", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "class_id", "root")
     out = forest.select("row", "id", "set", "text_hash", "text_size").join(placed, "set", "left")
     return out.select("row", "id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("root", "row").alias("root"), "text_hash", "text_size", F.lit(reached).alias("recall"))
 

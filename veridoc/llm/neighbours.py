@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, read_table, settle
+from .common import apart, discard, read_table, settle
 from .components import components
 from .jaccard import _groups
 
@@ -334,7 +334,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
     roots = components(links.where("other IS NOT NULL").select(F.col("row").alias("a"), F.col("other").alias("b")))
     placed = groups.join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(counts.withColumnRenamed("row", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     least = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    placed = placed.join(least, "root").select("same", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id", "root")
+    placed = placed.join(apart(least, "root"), "root").select("same", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id", "root")
     out = every.select("row", "id", "same").join(placed, "same", "left")
     return out.select("row", "id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("root", "row").alias("root"), F.lit(recall).alias("recall"))
 
