@@ -50,6 +50,21 @@ def test_against_brute_force(spark, vectors, monkeypatch):
     assert rows[len(vectors) - 1].n_links == 1  # the huge vector of the same direction
 
 
+def test_vectors_of_several_lengths_and_null_ids(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [1.0, 0.1, 0.0]), (3, [0.0, 1.0]), (4, [0.1, 1.0]), (None, [0.0, 2.0]), (None, None), (6, [1.0]), (7, []), (8, [5.0])]
+    found = {(r.id, r.n_links, r.component_id) for r in n.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert found == {(1, 1, 1), (2, 1, 1), (3, 2, 3), (4, 2, 3), (None, 2, 3), (None, 0, None), (6, 1, 6), (8, 1, 6), (7, 0, 7)}
+
+
+def test_below_the_target_all_are_compared(spark, vectors, monkeypatch):
+    monkeypatch.setattr(n, "SHARD", 100)
+    monkeypatch.setattr(n, "ATTEMPTS", 1)
+    monkeypatch.setattr(n, "TARGET", 1.1)
+    rows = n.near_vectors(spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")).collect()
+    links, root = brute(vectors, 16)
+    assert all((r.n_links, r.component_id, r.recall) == (links[r.id], root[r.id], 1.0) for r in rows)
+
+
 def test_empty_table(spark):
     assert n.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 

@@ -8,16 +8,18 @@ in its shards are united. Every member of a shard is then searched for from the
 node: greedy search with a beam, then expansion through the neighbours of all nodes within the radius. Cosines
 of what the search meets are verified in double precision; a pair counts in the least shard that both share.
 
-A shard of more than SHARD members is cut in chunks with graphs of their own, and the members of later chunks
-are streamed through the graph of each earlier one, so memory is bounded for any density. Tasks return counts
-and edges that span the links, never pairs.
-
-The result is audited: the true links of AUDIT classes, by brute force against all, are held against those
-found. Below the target recall the join is done again with more overlap and a wider beam, ATTEMPTS times at most.
-
-Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components
-link with nothing; null ids are compared like others; repeated rows are copies; an empty table gives an empty
-result. Extra columns are ignored.
+A shard of more than SHARD members is cut in chunks with graphs of their own. A chunk is searched in its task, and
+packed into one row, which is copied to the chunks it has yet to meet; each pair of chunks is then one more task. So
+memory is bounded for any density, and no join or shuffle sees a vector more often than its shards. Tasks return
+counts and edges that span the links, never pairs. Vectors of each length are joined apart, a pass for each length.
+
+The result is audited: for AUDIT classes the share of their true links, by brute force against all, that were found,
+every class counting alike. Below the target recall the join is done again with more overlap and a wider beam,
+ATTEMPTS times at most, and then exactly, over all pairs of chunks. The recall comes out as a column.
+
+Defined results: vectors that are null, zero, or hold null or non-finite components link with nothing, as do vectors of
+different lengths with each other; null ids are compared like others; repeated rows are copies; an empty table gives an
+empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,11 +43,11 @@ AUDIT, TARGET, ATTEMPTS = 1024, 0.98, 3
 QUERIES_AT_ONCE = 512
 
 
-def unit_vectors(column: pa.Array, size: int | None = None) -> list[np.ndarray | None]:
+def unit_vectors(column: pa.Array) -> list[np.ndarray | None]:
     """Each vector in doubles at length 1; None where it can't be compared."""
     out: list[np.ndarray | None] = []
     for x in column:
-        if not x.is_valid or x.values.null_count or (size is not None and len(x.values) != size):
+        if not x.is_valid or x.values.null_count:
             out.append(None)
             continue
         v = x.values.to_numpy(zero_copy_only=False).astype(np.float64)
@@ -208,53 +210,103 @@ def _spans(rows: np.ndarray, copies: np.ndarray, a: np.ndarray, b: np.ndarray) -
     return rows[at].tolist(), links[at].tolist(), [rows[root[i]] if root[i] != i else None for i in at.tolist()]
 
 
-def _search(beam: int):
-    schema = pa.schema([("row", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
+class _Chunk:
+    """A chunk of a shard, with the united lists between its own members as its graph."""
+
+    COLUMNS = ["row", "copies", "unit", "shards", "near"]
+
+    def __init__(self, part: pa.Table):
+        self.rows, self.copies, self.x = part["row"].to_numpy(), part["copies"].to_numpy(), _matrix(part["unit"])
+        self.shards = np.array(part["shards"].to_pylist())
+        near = part["near"].to_pylist()
+        order = np.argsort(self.rows)
+        ordered = self.rows[order]
+        self.graph = np.full((len(near), max(1, *(len(g) for g in near), 1)), -1)
+        for i, g in enumerate(near):
+            g = np.array(g, np.int64)
+            at = np.minimum(np.searchsorted(ordered, g), len(ordered) - 1)
+            g = order[at[ordered[at] == g]]
+            self.graph[i, : len(g)] = g
+        self.medoid = int((self.x @ self.x.mean(axis=0)).argmax())
+
+    def met_by(self, other: _Chunk, shard: int, beam: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Places (of other, of self) of the pairs within the radius of which this is the least shard that both share.
+        Without a beam all are compared."""
+        first, second = [], []
+        for a in range(0, len(other.x), QUERIES_AT_ONCE):
+            asked = other.x[a : a + QUERIES_AT_ONCE]
+            own = np.arange(a, a + len(asked)) if other is self else np.full(len(asked), -1)
+            if beam is None:
+                q, node = np.nonzero(asked @ self.x.T >= RADIUS)
+                q, node = q[node != own[q]], node[node != own[q]]
+            else:
+                q, node = search(asked, own, self.x, self.graph, self.medoid, beam)
+            q = q + a
+            mine, its = other.shards[q], self.shards[node]
+            common = np.where((mine[:, :, None] == its[:, None, :]).any(axis=2), mine, np.iinfo(np.int32).max).min(axis=1, initial=np.iinfo(np.int32).max)
+            first.append(q[common == shard])
+            second.append(node[common == shard])
+        return np.concatenate(first), np.concatenate(second)
+
+
+_LINKS = pa.schema([("row", pa.int64()), ("links", pa.int64()), ("other", pa.int64()), ("shard", pa.int32()), ("chunk", pa.int32()), ("chunks", pa.int32()), ("packed", pa.binary())])
+_LINKS_SHAPE = "row long, links long, other long, shard int, chunk int, chunks int, packed binary"
+
+
+def _batch(*columns: list) -> pa.RecordBatch:
+    arrays = [pa.array(c, f.type) for c, f in zip(columns, _LINKS)]
+    return pa.RecordBatch.from_arrays(arrays + [pa.nulls(len(arrays[0]), f.type) for f in list(_LINKS)[len(arrays) :]], schema=_LINKS)
+
+
+def _inside(beam: int | None):
+    """The links inside of chunks, and each chunk that has others to meet as one packed row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current = base = None
-        for part in _groups(batches, ["shard", "graph", "chunk"]):
-            key = (part["shard"][0].as_py(), part["graph"][0].as_py())
-            x, rows, copies = _matrix(part["unit"]), part["row"].to_numpy(), part["copies"].to_numpy()
-            shards = np.array(part["shards"].to_pylist())
-            if part["chunk"][0].as_py() == key[1]:  # the graph's own members come first
-                order = np.argsort(rows)
-                sorted_rows = rows[order]
-                near = part["near"].to_pylist()
-                graph = np.full((len(rows), max(1, *(len(g) for g in near))), -1)
-                for i, g in enumerate(near):
-                    g = np.array(g, np.int64)
-                    at = np.minimum(np.searchsorted(sorted_rows, g), len(rows) - 1)
-                    g = order[at[sorted_rows[at] == g]]
-                    graph[i, : len(g)] = g
-                medoid = int((x @ x.mean(axis=0)).argmax())
-                current, base = key, (x, rows, copies, shards, graph, medoid)
-                own = np.arange(len(rows))
-            else:
-                assert current == key
-                own = np.full(len(rows), -1)
-            bx, brows, bcopies, bshards, graph, medoid = base
-            first, second = [], []
-            for a in range(0, len(x), QUERIES_AT_ONCE):
-                q, node = search(x[a : a + QUERIES_AT_ONCE], own[a : a + QUERIES_AT_ONCE], bx, graph, medoid, beam)
-                q = q + a
-                common = np.where((shards[q][:, :, None] == bshards[node][:, None, :]).any(axis=2), shards[q], np.iinfo(np.int32).max).min(axis=1)
-                here = common == key[0]
-                first.append(q[here])
-                second.append(node[here])
-            q, node = np.concatenate(first), np.concatenate(second)
-            if own[0] >= 0:
-                pair = np.unique(np.minimum(q, node) * len(rows) + np.maximum(q, node))
-                out = _spans(rows, copies, pair // len(rows), pair % len(rows))
-            else:
-                out = _spans(np.concatenate([rows, brows]), np.concatenate([copies, bcopies]), q, node + len(rows))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+        for part in _groups(batches, ["shard", "chunk"]):
+            shard, chunks = part["shard"][0].as_py(), part["chunks"][0].as_py()
+            chunk = _Chunk(part)
+            q, node = chunk.met_by(chunk, shard, beam)
+            pair = np.unique(np.minimum(q, node) * len(chunk.rows) + np.maximum(q, node))
+            yield _batch(*_spans(chunk.rows, chunk.copies, pair // len(chunk.rows), pair % len(chunk.rows)))
+            if chunks > 1:
+                packed = pa.BufferOutputStream()
+                with pa.ipc.new_stream(packed, (bare := part.select(_Chunk.COLUMNS)).schema) as file:
+                    file.write_table(bare)
+                yield _batch([None], [None], [None], [shard], [part["chunk"][0].as_py()], [chunks], [packed.getvalue().to_pybytes()])
 
     return run
 
 
-def _links(classes: DataFrame, centres: np.ndarray, overlap: int, beam: int) -> DataFrame:
-    """(row, links, other) from all shards. Settled."""
+def _across(beam: int | None):
+    """The links between the two chunks of each block: those of the second are searched for in the first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _groups(batches, ["shard", "i", "j"]):
+            if block.num_rows < 2:  # chunks are dealt by hash, so one may have no members
+                continue
+            first, second = (_Chunk(pa.ipc.open_stream(x).read_all()) for x in block["packed"].to_pylist())
+            q, node = first.met_by(second, block["shard"][0].as_py(), beam)
+            yield _batch(*_spans(np.concatenate([second.rows, first.rows]), np.concatenate([second.copies, first.copies]), q, node + len(second.rows)))
+
+    return run
+
+
+def _verified(members: DataFrame, beam: int | None) -> list[DataFrame]:
+    """Settled tables of (row, links, other) from members (shard, chunk, chunks, row, copies, unit, shards, near)."""
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    inside = settle(members.repartition(parts, "shard", "chunk").sortWithinPartitions("shard", "chunk", "row").mapInArrow(_inside(beam), _LINKS_SHAPE), "links")
+    chunks = inside.where("packed IS NOT NULL").select("shard", "chunk", "packed", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")).where("chunk != other")
+    blocks = chunks.select("shard", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "packed")
+    across = settle(blocks.repartition(parts, "shard", "i", "j").sortWithinPartitions("shard", "i", "j", "chunk").mapInArrow(_across(beam), _LINKS_SHAPE), "links")
+    return [inside, across]
+
+
+def _found(tables: list[DataFrame]) -> DataFrame:
+    return tables[0].where("row IS NOT NULL").unionByName(tables[1]).select("row", "links", "other")
+
+
+def _links(classes: DataFrame, centres: np.ndarray, overlap: int, beam: int) -> list[DataFrame]:
+    """(row, links, other) from all shards, in settled tables."""
     overlap = min(overlap, len(centres))
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -272,16 +324,20 @@ def _links(classes: DataFrame, centres: np.ndarray, overlap: int, beam: int) ->
     members = members.join(F.broadcast(chunks), "shard").withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("chunks")).cast("int"))
     built = members.select("shard", "chunk", "row", "unit").repartition(parts, "shard", "chunk").sortWithinPartitions("shard", "chunk", "row").mapInArrow(_build, "row long, near array<long>")
     united = built.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # OVERLAP lists of DEGREE
-    asked = members.join(united, "row").select("*", F.explode(F.sequence(F.lit(0), F.col("chunk"))).alias("graph"))
-    asked = asked.select("shard", "graph", "chunk", "row", "copies", "unit", "shards", F.when(F.col("graph") == F.col("chunk"), F.col("near")).alias("near"))
-    found = asked.repartition(parts, "shard", "graph").sortWithinPartitions("shard", "graph", "chunk", "row").mapInArrow(_search(beam), "row long, links long, other long")
-    links = settle(found, "links")
+    links = _verified(members.join(united, "row"), beam)
     discard(placed)
     return links
 
 
+def _exact(classes: DataFrame, n: int) -> list[DataFrame]:
+    """As `_links`, of all pairs of chunks by brute force."""
+    chunks = F.lit(-(-n // SHARD))
+    members = classes.select("row", "copies", "unit", F.array(F.lit(0)).alias("shards"), F.lit(0).alias("shard"), chunks.alias("chunks"), F.pmod(F.xxhash64("row"), chunks).cast("int").alias("chunk"))
+    return _verified(members.withColumn("near", F.array().cast("array<bigint>")), None)
+
+
 def _audit(classes: DataFrame, counts: DataFrame) -> float:
-    """Found share of the true links of a sample of classes."""
+    """Found share of the true links of a sample of classes, each counting alike."""
     sample = classes.orderBy(F.xxhash64("row"), "row").limit(AUDIT).select("row", "unit").collect()
     asked = np.array([np.frombuffer(r.unit, np.float64) for r in sample])
     rows = np.array([r.row for r in sample])
@@ -295,19 +351,34 @@ def _audit(classes: DataFrame, counts: DataFrame) -> float:
                 yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(total.astype(np.int64))], ["row", "truth"])
 
     truth = classes.select("row", "unit", "copies").mapInArrow(count, "row long, truth long").groupBy("row").agg(F.sum("truth").alias("truth"))
-    truth, found = truth.join(counts, "row", "left").agg(F.sum("truth"), F.sum(F.coalesce("links", F.lit(0)))).first()
-    return found / truth if truth else 1.0
+    share = truth.where("truth > 0").join(counts, "row", "left").agg(F.avg(F.coalesce("links", F.lit(0)) / F.col("truth"))).first()[0]
+    return 1.0 if share is None else float(share)
+
+
+def _join_length(classes: DataFrame, n: int) -> tuple[DataFrame, float]:
+    """(row, links, other) of the n classes of one length, and the audited recall."""
+    sample = classes.orderBy(F.xxhash64("row"), "row").limit(SAMPLE).select("unit").collect()
+    x = np.array([np.frombuffer(r.unit, np.float64) for r in sample])
+    overlap, beam = OVERLAP, BEAM
+    for _ in range(ATTEMPTS):
+        centres = k_means(x, min(CENTROIDS, -(-n * overlap * 2 // SHARD)))
+        tables = _links(classes, centres, overlap, beam)
+        links = _found(tables)
+        if (recall := _audit(classes, links.groupBy("row").agg(F.sum("links").alias("links")))) >= TARGET:
+            return links, recall
+        for table in tables:
+            discard(table)
+        overlap, beam = overlap + 2, beam * 2
+    return _found(_exact(classes, n)), 1.0
 
 
 def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(row, id, n_links, component_id, root, recall): one row for each vector."""
     kind = vectors.schema[key].dataType.simpleString()
-    usual = vectors.where(F.col(embedding).isNotNull()).groupBy(F.size(embedding).alias("size")).count().orderBy(F.desc("count"), "size").first()
-    size = usual["size"] if usual else 0
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            unit = [None if v is None else v.tobytes() for v in unit_vectors(batch.column("embedding"), size)]
+            unit = [None if v is None else v.tobytes() for v in unit_vectors(batch.column("embedding"))]
             same = [None if v is None else hashlib.blake2b(v, digest_size=16).digest() for v in unit]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), pa.array(unit, pa.binary()), pa.array(same, pa.binary())], ["row", "id", "unit", "same"])
 
@@ -315,22 +386,15 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
     every = settle(numbered.mapInArrow(prepare, f"row long, id {kind}, unit binary, same binary"), "vectors")
     groups = settle(every.where("same IS NOT NULL").groupBy("same").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("least_id")), "same")
     classes = settle(every.select("row", "unit").join(groups.select(F.col("rep").alias("row"), "copies"), "row"), "classes")
-    n = classes.count()
-    sample = classes.orderBy(F.xxhash64("row"), "row").limit(SAMPLE).select("unit").collect()
-    recall, overlap, beam = 1.0, OVERLAP, BEAM
-    links = None
-    if n:
-        x = np.array([np.frombuffer(r.unit, np.float64) for r in sample])
-        for _ in range(ATTEMPTS):
-            centres = k_means(x, min(CENTROIDS, -(-n * overlap * 2 // SHARD)))
-            links = _links(classes, centres, overlap, beam)
-            counts = links.groupBy("row").agg(F.sum("links").alias("links"))
-            if (recall := _audit(classes, counts)) >= TARGET:
-                break
-            overlap, beam = overlap + 2, beam * 2
-        discard(classes)
+    links, recall = None, 1.0
+    # A row for each length that vectors have.
+    for r in classes.groupBy(F.octet_length("unit").alias("size")).count().orderBy("size").collect():
+        more, share = _join_length(classes.where(F.octet_length("unit") == r["size"]), r["count"])
+        links, recall = more if links is None else links.unionByName(more), min(recall, share)
+    discard(classes)
     if links is None:
         return every.select("row", "id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("row").alias("root"), F.lit(recall).alias("recall"))
+    counts = links.groupBy("row").agg(F.sum("links").alias("links"))
     roots = components(links.where("other IS NOT NULL").select(F.col("row").alias("a"), F.col("other").alias("b")))
     placed = groups.join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(counts.withColumnRenamed("row", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     least = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
@@ -341,7 +405,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
 
 def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = near_vectors(read_table(spark, sf_dir, "embeddings"))
-    return near.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    return near.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 # By brute force over all pairs.
