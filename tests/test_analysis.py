@@ -30,6 +30,16 @@ def test_folder_source(spark, folder):
     assert [(r.doc_id, r.filename, r.bytes) for r in rows] == [(0, "a.TXT", 58), (1, "b.txt", 58), (2, 'c,"d".txt', 48), (3, "e.txt", 0)]
 
 
+def test_lines_of_a_file_stay_together(spark, folder):
+    (folder / "g.txt").write_text("one two\nthree four\r\nfive")
+    assert readers.from_folder(spark, str(folder)).where("filename = 'g.txt'").first().text == "one two\nthree four\r\nfive"
+    corpus = readers.read_corpus(spark, str(folder / "g.txt"))
+    assert [r.text for r in corpus.collect()] == ["one two\nthree four\r\nfive"]
+    assert authorship.train(spark, corpus).ngrams.count() == 3  # n-grams run over the ends of lines
+    with pytest.raises(readers.SourceError):
+        readers.from_folder(spark, str(folder / "none"))
+
+
 def test_report(spark, folder, tmp_path):
     found = analysis.analyze_folder(spark, Config(input=str(folder), output=str(tmp_path / "out")))
     assert [(p["doc_a"], p["doc_b"]) for p in found["flagged_pairs"]] == [(0, 1)]

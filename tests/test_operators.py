@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import brute
 from veridoc.functions import hashing
-from veridoc.operators import authorship, candidates, similarity, terms
+from veridoc.operators import authorship, candidates, ranks, similarity, terms
 
 GREEK = "alpha beta gamma delta epsilon zeta eta theta"
 
@@ -62,7 +62,7 @@ def test_everything_against_brute_force(mixed, cut):
         shared = [(k, keys[a][k]) for k in range(20) if keys[a][k] == keys[b][k]]
         if shared:
             first[a, b] = shared[0]
-    pairs = candidates.candidate_pairs(candidates.band_keys(tokens))
+    pairs = candidates.candidate_pairs(candidates.band_lists(tokens))
     assert {(r.a, r.b): (r.first_band, r.first_key) for r in pairs.collect()} == first and first
 
     scores = {(r.a, r.b): r for r in similarity.pair_scores(pairs, tokens).collect()}
@@ -75,7 +75,7 @@ def test_everything_against_brute_force(mixed, cut):
 
 def test_few_tokens_alike_score_06_and_are_not_flagged(mixed):
     tokens = terms.tokenized(mixed)
-    scores = similarity.pair_scores(candidates.candidate_pairs(candidates.band_keys(tokens)), tokens)
+    scores = similarity.pair_scores(candidates.candidate_pairs(candidates.band_lists(tokens)), tokens)
     few = scores.where("a = 19 AND b = 20").first()
     assert (few.cosine, few.rabin_karp, few.combined) == (pytest.approx(1), 0, pytest.approx(0.6))
     assert similarity.flagged(scores, 0.75).where("a = 19").isEmpty()
@@ -96,13 +96,13 @@ def test_pairs_given_by_hand(spark):
 
 def test_empty_documents_are_candidates_with_score_0(spark):
     tokens = terms.tokenized(docs(spark, "", None, "some words"))
-    pairs = candidates.candidate_pairs(candidates.band_keys(tokens))
+    pairs = candidates.candidate_pairs(candidates.band_lists(tokens))
     assert [(r.a, r.b, r.combined) for r in similarity.pair_scores(pairs, tokens).collect()] == [(0, 1, 0.0)]
 
 
 def test_empty_table(spark):
     tokens = terms.tokenized(docs(spark).limit(0) if False else spark.createDataFrame([], "doc_id long, text string"))
-    pairs = candidates.candidate_pairs(candidates.band_keys(tokens))
+    pairs = candidates.candidate_pairs(candidates.band_lists(tokens))
     assert similarity.pair_scores(pairs, tokens).count() == 0
 
 
@@ -130,5 +130,19 @@ def test_variance_is_around_the_document(spark):
     assert rows[1].perplexity_variance == 0 and rows[2].mean_perplexity == 1000
 
 
+def test_idf_is_the_same_without_the_broadcast(mixed, monkeypatch):
+    tokens = terms.tokenized(mixed)
+    rows = lambda: {(r.doc_id, r.term): r.tfidf for r in terms.tfidf_weights(tokens).collect()}
+    wide = rows()
+    monkeypatch.setattr(terms, "MOST_BROADCAST", 1)
+    assert rows() == wide
+
+
+def test_numbers_follow_the_order(spark):
+    rows = spark.createDataFrame([(i * 7 % 101, "x") for i in range(101)], "v long, w string").repartition(5)
+    assert all(r.place == 100 - r.v for r in ranks.numbered(rows, "place", F.desc("v")).collect())
+    assert ranks.numbered(rows.where("false"), "place", F.desc("v")).count() == 0
+
+
 def test_order_is_two_at_least(spark):
     assert authorship.train(spark, order=1).order == 2

@@ -55,6 +55,18 @@ def clamp(value: Column, low: float = 0.0, high: float = 100.0) -> Column:
     return F.least(F.greatest(value, F.lit(low)), F.lit(high))
 
 
+def csv_text(text: Column) -> Column:
+    """As csv_field, of a column."""
+    quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.when(text.rlike('[",\\n\\r]'), quoted).otherwise(text)
+
+
+def json_text(text: Column) -> Column:
+    """A text as a JSON string; only what must be is escaped."""
+    inside = F.to_json(F.struct(text.alias("x")))
+    return F.substring(inside, F.lit(6), F.length(inside) - 6)
+
+
 def csv_field(value: str) -> str:
     """Quoted only if it holds a quote, comma or line break."""
     return '"' + value.replace('"', '""') + '"' if any(c in value for c in '",\n\r') else value

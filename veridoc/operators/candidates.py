@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hashing
+from ..scratch import settle
 
 
 def _lists(rows) -> pa.Array:
@@ -36,18 +37,29 @@ def signatures(tokens: DataFrame) -> DataFrame:
     return _kernel(tokens, "signature", hashing.signatures)
 
 
-def band_keys(tokens: DataFrame, banding: tuple[int, int] = (20, 5)) -> DataFrame:
-    """(doc_id, band, key), straight from the tokens."""
-    keyed = _kernel(tokens, "keys", lambda part: hashing.band_keys(hashing.signatures(part), *banding))
-    return keyed.select("doc_id", F.posexplode("keys").alias("band", "key"))
+def band_lists(tokens: DataFrame, banding: tuple[int, int] = (20, 5)) -> DataFrame:
+    """(doc_id, keys): the key of each band, straight from the tokens."""
+    return _kernel(tokens, "keys", lambda part: hashing.band_keys(hashing.signatures(part), *banding))
 
 
-def candidate_pairs(bands: DataFrame) -> DataFrame:
-    """(a, b, first_band, first_key), a < b, for all that share a key in some band. bands are read twice, so
-    they should be settled or cached; adaptive execution splits keys of very many."""
-    left, right = (bands.select("band", "key", F.col("doc_id").alias(side)) for side in ("a", "b"))
-    pairs = left.join(right, ["band", "key"]).where("a < b")
-    return pairs.groupBy("a", "b").agg(F.min(F.struct("band", "key")).alias("first")).select("a", "b", F.col("first.band").alias("first_band"), F.col("first.key").alias("first_key"))
+def band_keys(tokens: DataFrame, banding: tuple[int, int] = (20, 5)) -> DataFrame:
+    """(doc_id, band, key)."""
+    return band_lists(tokens, banding).select("doc_id", F.posexplode("keys").alias("band", "key"))
+
+
+def candidate_pairs(lists: DataFrame) -> DataFrame:
+    """(a, b, first_band, first_key), a < b, for all that share a key in some band, from (doc_id, keys), which is read
+    several times and so should be settled or cached. Documents of equal keys, as empty ones and copies are, stand in
+    the bands as one, so that their pairs are made once and not once a band."""
+    classes = settle(lists.groupBy("keys").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
+    members = lists.join(classes.select("keys", "rep"), "keys").select("doc_id", "rep")
+    bands = classes.select("rep", F.posexplode("keys").alias("band", "key"))
+    left, right = (bands.select("band", "key", F.col("rep").alias(side)) for side in ("left", "right"))
+    met = left.join(right, ["band", "key"]).where("left < right").groupBy("left", "right").agg(F.min(F.struct("band", "key")).alias("first"))
+    own = classes.where("n > 1").select(F.col("rep").alias("left"), F.col("rep").alias("right"), F.struct(F.lit(0).alias("band"), F.get("keys", F.lit(0)).alias("key")).alias("first"))
+    pairs = met.unionByName(own).join(members.select(F.col("doc_id").alias("x"), F.col("rep").alias("left")), "left")
+    pairs = pairs.join(members.select(F.col("doc_id").alias("y"), F.col("rep").alias("right")), "right").where("left != right OR x < y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.col("first.band").alias("first_band"), F.col("first.key").alias("first_key"))
 
 
 def fingerprints(tokens: DataFrame) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..scratch import settle
+
+MOST_BROADCAST = 1_000_000  # terms, of at most 255 letters and a number
 
 
 def tokenized(docs: DataFrame, stopwords: Sequence[str] = T.STOPWORDS) -> DataFrame:
@@ -15,10 +18,24 @@ def tokenized(docs: DataFrame, stopwords: Sequence[str] = T.STOPWORDS) -> DataFr
     return docs.select("doc_id", T.tokens(F.col("text"), stopwords).alias("tokens"))
 
 
+def counted(tokens: DataFrame) -> DataFrame:
+    """(doc_id, size, terms array<struct<term,cnt>>): size is the document's number of tokens. A document's tokens are
+    sorted and counted in its row, so nothing is shuffled. Generators keep the steps apart, each computed once."""
+    once = lambda df, name, value: df.select("*", F.explode(F.array(value)).alias(name))
+    held = once(tokens.select("doc_id", F.size("tokens").alias("size"), "tokens"), "s", F.sort_array("tokens")).drop("tokens")
+    first = F.filter(F.sequence(F.lit(0), F.col("size") - 1), lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1)))
+    held = once(held, "starts", F.when(F.col("size") > 0, first).otherwise(F.array().cast("array<int>")))
+    run = lambda a, k: F.struct(F.get("s", a).alias("term"), (F.coalesce(F.get("starts", k + 1), F.col("size")) - a).cast("long").alias("cnt"))
+    return held.select("doc_id", "size", F.transform("starts", run).alias("terms"))
+
+
+def _each(held: DataFrame) -> DataFrame:
+    return held.select("doc_id", "size", F.explode("terms").alias("t")).select("doc_id", "size", "t.term", "t.cnt")
+
+
 def term_counts(tokens: DataFrame) -> DataFrame:
-    """(doc_id, size, term, cnt): size is the document's number of tokens."""
-    each = tokens.select("doc_id", F.size("tokens").alias("size"), F.explode("tokens").alias("term"))
-    return each.groupBy("doc_id", "size", "term").agg(F.count(F.lit(1)).alias("cnt"))
+    """(doc_id, size, term, cnt)."""
+    return _each(counted(tokens))
 
 
 def document_frequency(counts: DataFrame) -> DataFrame:
@@ -26,14 +43,18 @@ def document_frequency(counts: DataFrame) -> DataFrame:
 
 
 def tfidf_weights(tokens: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """(doc_id, term, tfidf). With only (doc_id), of those documents; frequencies still cover all."""
-    counts = term_counts(tokens)
-    # One row: the number of documents.
-    total = tokens.agg(F.count(F.lit(1)).alias("total"))
-    idf = document_frequency(counts).crossJoin(F.broadcast(total)).select("term", (F.log((F.col("total") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    """(doc_id, term, tfidf). With only (doc_id), of those documents; frequencies still cover all. Counts are written
+    once; only terms with their frequencies are shuffled. These are broadcast up to MOST_BROADCAST terms; beyond, both
+    sides of the join are plain tables, so that adaptive execution splits terms that most documents hold."""
+    held = settle(counted(tokens), "terms")
+    total = held.count()
+    idf = document_frequency(held.select(F.explode("terms.term").alias("term"))).select("term", (F.log((F.lit(total) + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    idf = settle(idf, "idf")
+    if idf.count() <= MOST_BROADCAST:
+        idf = F.broadcast(idf)
     if only is not None:
-        counts = counts.join(only, "doc_id", "left_semi")
-    return counts.join(idf, "term").select("doc_id", "term", (F.col("cnt") / F.col("size") * F.col("idf")).alias("tfidf"))
+        held = held.join(only, "doc_id", "left_semi")
+    return _each(held).join(idf, "term").select("doc_id", "term", (F.col("cnt") / F.col("size") * F.col("idf")).alias("tfidf"))
 
 
 def tfidf_norms(weights: DataFrame) -> DataFrame:

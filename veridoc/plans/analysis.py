@@ -45,7 +45,7 @@ def analyze(spark: SparkSession, documents: DataFrame, config: Config | None = N
     config = config or Config()
     words = readers.STOPWORDS if stopwords is None else stopwords
     tokens = terms.tokenized(documents, words).persist(StorageLevel.MEMORY_AND_DISK)
-    bands = candidates.band_keys(tokens, config.banding).persist(StorageLevel.MEMORY_AND_DISK)
+    bands = candidates.band_lists(tokens, config.banding).persist(StorageLevel.MEMORY_AND_DISK)
     pairs = candidates.candidate_pairs(bands).persist(StorageLevel.MEMORY_AND_DISK)
     scores = similarity.pair_scores(pairs, tokens).persist(StorageLevel.MEMORY_AND_DISK)
     model = authorship.train(spark, corpus, config.ngram, words)

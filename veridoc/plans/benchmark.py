@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Example runs (threads, milliseconds), for the registered queries.
 EXAMPLE = ((1, 8000.0), (2, 4600.0), (4, 2900.0), (8, 2050.0))
+STAGES = (("io", 120.0), ("tokenize_tfidf", 900.0), ("minhash_lsh", 450.0), ("similarity", 330.0), ("perplexity", 200.0))
 CURVE_SHARE = 0.15  # fixed value: the serial share that the drawn curve assumes
 CURVE_THREADS = (1, 2, 4, 8, 16)
 
@@ -69,5 +70,6 @@ _SPEED = "speed AS (SELECT threads, arg_min(runtime_ms, threads) OVER () / runti
 SQL = {
     "amdahl_fit": f"WITH {_RUNS}, {_SPEED}, e AS (SELECT k / 1000 AS s, sum(pow(speedup - 1 / (k / 1000 + (1 - k / 1000) / threads), 2)) AS error FROM speed, range(1001) r(k) GROUP BY k) SELECT round(s, 3) AS serial_share, round(error, 9) AS error FROM e ORDER BY e.error, s LIMIT 1",
     "amdahl_curve": "SELECT t::INTEGER AS threads, round(1 / (0.15::DOUBLE + 0.85::DOUBLE / t), 6) AS speedup, round(1 / (0.15::DOUBLE + 0.85::DOUBLE / t) / t, 6) AS efficiency FROM (VALUES (1), (2), (4), (8), (16)) v(t)",
+    "stage_share": "WITH s(stage, ms) AS (VALUES " + ", ".join(f"('{n}', {ms}::DOUBLE)" for n, ms in STAGES) + ") SELECT stage, ms, round(ms / sum(ms) OVER (), 6) AS share FROM s",
     "thread_speedup": f"WITH {_RUNS}, {_SPEED} SELECT threads::INTEGER AS threads, round(speedup, 6) AS speedup, round(speedup / threads, 6) AS efficiency FROM speed",
 }

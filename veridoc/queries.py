@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import SHINGLE, SIGNATURE
-from .functions.text import STOPWORDS
-from .operators import authorship, candidates, similarity, terms
-from .plans import benchmark
-from .scratch import settle
+from .config import SHINGLE, SIGNATURE, Config
+from .functions.text import STOPWORDS, basename, csv_text, json_text
+from .operators import authorship, candidates, ranks, similarity, terms
+from .plans import analysis, benchmark
+from .scratch import scratch_path, settle
+from .sources import readers, sinks
 
 LOOKUP_TERM = "er"
 _r = lambda name: F.round(name, 6).alias(name)
@@ -26,14 +27,28 @@ def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.tokenized(documents(spark, sf_dir))
 
 
-def _pairs(tokens: DataFrame) -> DataFrame:
+def _settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens that several plans read are cut once and written."""
+    return settle(_tokens(spark, sf_dir), "tokens")
+
+
+def _pairs(tokens: DataFrame, banding: tuple[int, int] = (20, 5)) -> DataFrame:
     """Band keys and pairs are read several times, and so written once."""
-    return settle(candidates.candidate_pairs(settle(candidates.band_keys(tokens), "bands")), "pairs")
+    return settle(candidates.candidate_pairs(settle(candidates.band_lists(tokens, banding), "bands")), "pairs")
+
+
+def _scored(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
+    pairs = _pairs(tokens)
+    return pairs, similarity.pair_scores(pairs, tokens)
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = _tokens(spark, sf_dir)
-    return similarity.pair_scores(_pairs(tokens), tokens)
+    return _scored(_settled(spark, sf_dir))[1]
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """Documents under file names, as paths of either kind."""
+    return docs.withColumn("filename", basename(F.concat(F.when(F.col("doc_id") % 2 == 0, "in/").otherwise("in\\"), F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(".txt"))))
 
 
 def tokenize(spark, sf_dir):
@@ -62,7 +77,7 @@ def tfidf_norms(spark, sf_dir):
 
 
 def tfidf_lookup(spark, sf_dir):
-    tokens = _tokens(spark, sf_dir)
+    tokens = _settled(spark, sf_dir)
     return terms.tfidf_lookup(tokens, terms.tfidf_weights(tokens), LOOKUP_TERM).select("doc_id", "term", _r("tfidf"))
 
 
@@ -84,12 +99,12 @@ def rk_fingerprints(spark, sf_dir):
 
 
 def cosine_pairs(spark, sf_dir):
-    tokens = _tokens(spark, sf_dir)
+    tokens = _settled(spark, sf_dir)
     return similarity.cosine(_pairs(tokens), tokens).select("a", "b", _r("cosine"))
 
 
 def rk_pairs(spark, sf_dir):
-    tokens = _tokens(spark, sf_dir)
+    tokens = _settled(spark, sf_dir)
     return similarity.overlap(_pairs(tokens), tokens).select("a", "b", _r("rabin_karp"))
 
 
@@ -154,9 +169,104 @@ def ai_flagged(spark, sf_dir):
 
 
 def run_summary(spark, sf_dir):
-    n = documents(spark, sf_dir).agg(F.count(F.lit(1)).alias("documents"))
-    pairs = _scores(spark, sf_dir).agg(F.count(F.lit(1)).alias("candidate_pairs"), F.count_if(F.col("combined") >= 0.75).alias("flagged_pairs"))
-    return n.crossJoin(pairs).crossJoin(ai_flagged(spark, sf_dir)).select("documents", F.expr("documents * (documents - 1) div 2").alias("total_pairs"), "candidate_pairs", "flagged_pairs", "ai_flagged")
+    docs, tokens = documents(spark, sf_dir), _settled(spark, sf_dir)
+    n = docs.agg(F.count(F.lit(1)).alias("documents"))
+    pairs = _scored(tokens)[1].agg(F.count(F.lit(1)).alias("candidate_pairs"), F.count_if(F.col("combined") >= 0.75).alias("flagged_pairs"))
+    flagged = authorship.authorship_scores(docs, tokens, authorship.train(spark)).agg(F.count_if("flagged").alias("ai_flagged"))
+    return n.crossJoin(pairs).crossJoin(flagged).select("documents", F.expr("documents * (documents - 1) div 2").alias("total_pairs"), "candidate_pairs", "flagged_pairs", "ai_flagged")
+
+
+def folder_documents(spark, sf_dir):
+    """Every document as a file of a folder, read back."""
+    folder = scratch_path(spark, "folder")
+    sinks.write_folder(_named(documents(spark, sf_dir)), folder)
+    return readers.from_folder(spark, folder).select("doc_id", "filename", "bytes", F.md5("text").alias("text_md5"))
+
+
+def flagged_order(spark, sf_dir):
+    """Flagged pairs with their place in the order in which they were found."""
+    pairs, scores = _scored(_settled(spark, sf_dir))
+    flagged = similarity.flagged(scores, 0.75).join(pairs, ["a", "b"]).select("a", "b", "first_band", "first_key")
+    return ranks.numbered(flagged, "place", F.col("first_band"), F.col("first_key"), F.col("a"), F.col("b")).withColumn("first_band", F.col("first_band").cast("long"))
+
+
+def flagged_names(spark, sf_dir):
+    """Flagged pairs at a lower threshold, by file name, as clients read them."""
+    names = _named(documents(spark, sf_dir)).select("doc_id", "filename")
+    pairs = similarity.flagged(_scores(spark, sf_dir), 0.5)
+    by = lambda side: names.select(F.col("doc_id").alias(side), F.col("filename").alias(f"doc_{side}"))
+    return pairs.join(by("a"), "a").join(by("b"), "b").select("doc_a", "doc_b", _r("cosine"), _r("rabin_karp"), F.round("combined", 6).alias("score"))
+
+
+def ai_ranking(spark, sf_dir):
+    """Documents by falling score, as they are shown; of equal scores the least id comes first."""
+    scores = _authorship(spark, sf_dir).select("doc_id", F.round(F.coalesce("ai_score", F.lit(0.0)), 6).alias("ai_score"))
+    return ranks.numbered(scores, "place", F.desc("ai_score"), F.col("doc_id"))
+
+
+def written_pairs(spark, sf_dir):
+    """The whole analysis, written as tables, and its flagged pairs read back."""
+    folder = scratch_path(spark, "out")
+    docs = _named(documents(spark, sf_dir)).withColumn("bytes", F.octet_length("text").cast("long"))
+    result = analysis.analyze(spark, docs, Config())
+    try:
+        analysis.write_long(folder, result)
+    finally:
+        result.close()
+    return spark.read.parquet(f"{folder}/flagged_pairs").select("a", "b", _r("cosine"), _r("rabin_karp"), _r("combined"))
+
+
+def written_scores(spark, sf_dir):
+    """Authorship scores written as CSV by file name, and read back."""
+    path = scratch_path(spark, "scores")
+    scores = _authorship(spark, sf_dir).join(_named(documents(spark, sf_dir)).select("doc_id", "filename"), "doc_id")
+    sinks.scores_csv(scores, path)
+    return spark.read.option("header", True).csv(path).select("filename", "flagged")
+
+
+def banded_candidates(spark, sf_dir):
+    """Pairs of ten bands of eight rows."""
+    return _pairs(_tokens(spark, sf_dir), Config(bands=10, rows=8).banding).select("a", "b", F.col("first_band").cast("long").alias("first_band"), "first_key")
+
+
+def banding_fallback(spark, sf_dir):
+    """Pairs of a banding of more values than a signature has."""
+    return _pairs(_tokens(spark, sf_dir), Config(bands=50, rows=5).banding).select("a", "b")
+
+
+def _corpus_model(spark, sf_dir):
+    """A model of order 2 trained on files, one for each row of `benchmark`."""
+    folder = scratch_path(spark, "corpus")
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    sinks.write_folder(items.select(F.concat(F.col("item_id").cast("string"), F.lit(".txt")).alias("filename"), "text"), folder)
+    return authorship.train(spark, readers.read_corpus(spark, folder), 2)
+
+
+def corpus_ngrams(spark, sf_dir):
+    return _corpus_model(spark, sf_dir).ngrams.select(F.array_join("gram", " ").alias("gram"), "cnt")
+
+
+def corpus_perplexity(spark, sf_dir):
+    return authorship.perplexity(_tokens(spark, sf_dir), ["doc_id"], _corpus_model(spark, sf_dir)).select("doc_id", _r("perplexity"))
+
+
+def stopword_file(spark, sf_dir):
+    """Token counts under a file of stopwords."""
+    folder = scratch_path(spark, "stopwords")
+    sinks.write_folder(spark.createDataFrame([("words.txt", "# not these\nThe  \n\nOF\nthe\nand\t\n")], "filename string, text string"), folder)
+    words = readers.read_stopwords(spark, f"{folder}/words.txt")
+    return terms.tokenized(documents(spark, sf_dir), words).select("doc_id", F.size("tokens").cast("long").alias("tokens"))
+
+
+def escaped_texts(spark, sf_dir):
+    """Texts as fields of CSV and as JSON strings."""
+    text = F.coalesce("text", F.lit(""))
+    return documents(spark, sf_dir).select("doc_id", F.md5(csv_text(text)).alias("csv_md5"), F.md5(json_text(text)).alias("json_md5"))
+
+
+def stage_share(spark, sf_dir):
+    stages = spark.createDataFrame(list(benchmark.STAGES), "stage string, ms double")
+    return benchmark.stage_shares(stages).select("stage", "ms", _r("share"))
 
 
 def amdahl_fit(spark, sf_dir):
@@ -171,7 +281,7 @@ def thread_speedup(spark, sf_dir):
     return benchmark.thread_speedup(benchmark.points(spark)).select("threads", _r("speedup"), _r("efficiency"))
 
 
-QUERIES = {f.__name__: f for f in (tokenize, token_totals, term_counts, document_frequency, tfidf_weights, tfidf_norms, tfidf_lookup, minhash_signatures, lsh_band_keys, lsh_candidates, rk_fingerprints, cosine_pairs, rk_pairs, similarity_scores, flagged_pairs, pair_severity, similarity_long, similarity_block, lm_ngrams, lm_contexts, lm_vocabulary, doc_perplexity, sentence_perplexity, sentence_variance, ai_scores, ai_flagged, run_summary, amdahl_fit, amdahl_curve, thread_speedup)}
+QUERIES = {f.__name__: f for f in (tokenize, token_totals, term_counts, document_frequency, tfidf_weights, tfidf_norms, tfidf_lookup, minhash_signatures, lsh_band_keys, lsh_candidates, rk_fingerprints, cosine_pairs, rk_pairs, similarity_scores, flagged_pairs, pair_severity, similarity_long, similarity_block, lm_ngrams, lm_contexts, lm_vocabulary, doc_perplexity, sentence_perplexity, sentence_variance, ai_scores, ai_flagged, run_summary, folder_documents, flagged_order, flagged_names, ai_ranking, written_pairs, written_scores, banded_candidates, banding_fallback, corpus_ngrams, corpus_perplexity, stopword_file, escaped_texts, stage_share, amdahl_fit, amdahl_curve, thread_speedup)}
 
 # ---------------------------------------------------------------------------------------------------- SQL
 
@@ -179,9 +289,9 @@ _WORDS = ", ".join(f"'{w}'" for w in STOPWORDS)
 _STEM = "CASE WHEN length(x) > 5 AND suffix(x, 'ing') THEN left(x, length(x) - 3) WHEN length(x) > 4 AND (suffix(x, 'ed') OR suffix(x, 'es')) THEN left(x, length(x) - 2) WHEN length(x) > 3 AND suffix(x, 's') THEN left(x, length(x) - 1) ELSE x END"
 
 
-def _cut(text: str) -> str:
-    found = f"regexp_extract_all(coalesce({text}, ''), '([A-Za-z0-9]{{1,255}})[A-Za-z0-9]?', 1)"
-    return f"list_filter(list_transform(list_transform({found}, lambda y: lower(y)), lambda x: {_STEM}), lambda z: z NOT IN ({_WORDS}))"
+def _cut(text: str, words: str = _WORDS) -> str:
+    found = f"regexp_extract_all(split_part(coalesce({text}, ''), chr(0), 1), '([A-Za-z0-9]{{1,255}})[A-Za-z0-9]?', 1)"
+    return f"list_filter(list_transform(list_transform({found}, lambda y: lower(y)), lambda x: {_STEM}), lambda z: z NOT IN ({words}))"
 
 
 _TOK = f"tok AS (SELECT doc_id, {_cut('text')} AS t FROM documents)"
@@ -222,9 +332,15 @@ sig AS (SELECT doc_id, k, min(CASE WHEN xor(v, v >> 15) = 0 THEN 1 ELSE xor(v, v
 
 
 _SIG = _signatures()
-_BAND = f"""band AS (SELECT doc_id, band, list_reduce(vs, lambda h, v: xor(h, {_u('v::UBIGINT + 2654435769::UBIGINT + ((h << 6) & 4294967295::UBIGINT) + (h >> 2)')}), xor(2166136261::UBIGINT, band::UBIGINT))::BIGINT AS key
-  FROM (SELECT doc_id, k // 5 AS band, list(value::UBIGINT ORDER BY k) AS vs FROM sig GROUP BY ALL)),
+
+
+def _bands(rows: int, count: int) -> str:
+    return f"""band AS (SELECT doc_id, band, list_reduce(vs, lambda h, v: xor(h, {_u('v::UBIGINT + 2654435769::UBIGINT + ((h << 6) & 4294967295::UBIGINT) + (h >> 2)')}), xor(2166136261::UBIGINT, band::UBIGINT))::BIGINT AS key
+  FROM (SELECT doc_id, k // {rows} AS band, list(value::UBIGINT ORDER BY k) AS vs FROM sig WHERE k < {rows * count} GROUP BY ALL)),
 pair AS (SELECT a, b, min(f).band AS first_band, min(f).key AS first_key FROM (SELECT x.doc_id AS a, y.doc_id AS b, {{'band': x.band, 'key': x.key}} AS f FROM band x JOIN band y ON x.band = y.band AND x.key = y.key AND x.doc_id < y.doc_id) GROUP BY ALL)"""
+
+
+_BAND = _bands(5, 20)
 _RK = f"""hash AS (SELECT word, CASE WHEN h = 0 THEN 1::UBIGINT ELSE h END AS h FROM (SELECT word, list_reduce(list_transform(range(1, length(word) + 1), lambda i: ascii(word[i])::UBIGINT), lambda acc, b: {_u('xor(acc, b) * 16777619::UBIGINT')}, 2166136261::UBIGINT) AS h FROM (SELECT DISTINCT unnest(t) AS word FROM tok))),
 hashed AS (SELECT doc_id, list(h ORDER BY i) AS hs FROM (SELECT doc_id, unnest(t) AS word, unnest(range(len(t))) AS i FROM tok) JOIN hash USING (word) GROUP BY doc_id),
 fp AS (SELECT DISTINCT doc_id, CASE WHEN x = 0 THEN 1 ELSE x END::BIGINT AS fingerprint FROM (SELECT doc_id, list_reduce(hs[i:i + 4], lambda acc, v: {_u('acc * 16777619::UBIGINT + v')}, 0::UBIGINT) AS x FROM (SELECT doc_id, hs, unnest(range(1, len(hs) - 3)) AS i FROM hashed)))"""
@@ -249,7 +365,7 @@ def _perplexity(name: str, source: str, keys: str) -> str:
 
 
 _DOCP = _perplexity("docp", "tok", "doc_id")
-_SENT = f"""sent AS (SELECT * FROM (SELECT doc_id, sentence, {_cut('piece')} AS t FROM (SELECT doc_id, unnest(ps) AS piece, unnest(range(len(ps))) AS sentence FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '[.!?]') AS ps FROM documents))) WHERE len(t) > 0),
+_SENT = f"""sent AS (SELECT * FROM (SELECT doc_id, sentence, {_cut('piece')} AS t FROM (SELECT doc_id, unnest(ps) AS piece, unnest(range(len(ps))) AS sentence FROM (SELECT doc_id, regexp_split_to_array(split_part(coalesce(text, ''), chr(0), 1), '[.!?]') AS ps FROM documents))) WHERE len(t) > 0),
 {_perplexity('sentp', 'sent', 'doc_id, sentence')}"""
 _AI = """var AS (SELECT d.doc_id, CASE WHEN count(s.perplexity) > 1 THEN avg(pow(s.perplexity - d.perplexity, 2)) ELSE 0 END AS variance FROM docp d LEFT JOIN sentp s USING (doc_id) GROUP BY d.doc_id),
 ai AS (SELECT doc_id, perplexity, variance, least(greatest(100 / (1 + perplexity / 75) * (1 / (1 + sqrt(variance) / 100)), 0), 100) AS ai_score FROM docp JOIN var USING (doc_id))"""
@@ -258,7 +374,28 @@ _ALL_SCORES = f"{_TOK}, {_TF}, {_SIG}, {_BAND}, {_SCORE}"
 _ALL_AI = f"{_TOK}, {_LM}, {_DOCP}, {_SENT}, {_AI}"
 _ROUNDED = "round(cosine, 6) AS cosine, round(rabin_karp, 6) AS rabin_karp, round(combined, 6) AS combined"
 
+_NAME = "lpad({}::VARCHAR, 12, '0') || '.txt'"
+_CORPUS = f"""corpus AS (SELECT {_cut('text')} AS t FROM benchmark),
+lm2 AS (SELECT array_to_string(t[i:i + 1], ' ') AS gram, t[i] AS context FROM (SELECT t, unnest(range(1, len(t))) AS i FROM corpus)),
+n2 AS (SELECT gram, count(*) AS n FROM lm2 GROUP BY gram),
+n1 AS (SELECT context, count(*) AS c FROM lm2 GROUP BY context),
+vocabulary AS (SELECT DISTINCT unnest(t) AS word FROM corpus)"""
+_CORPUS_P = """g AS (SELECT doc_id, array_to_string(t[i:i + 1], ' ') AS gram, t[i] AS context FROM (SELECT doc_id, t, unnest(range(1, len(t))) AS i FROM tok)),
+e AS (SELECT doc_id, exp(avg(-ln((coalesce(n, 0) + 1) / (coalesce(c, 0) + (SELECT greatest(count(*), 1) FROM vocabulary))))) AS e FROM g LEFT JOIN n2 USING (gram) LEFT JOIN n1 USING (context) GROUP BY doc_id)"""
+
 SQL = {
+    "folder_documents": f"SELECT row_number() OVER (ORDER BY {_NAME.format('doc_id')}) - 1 AS doc_id, {_NAME.format('doc_id')} AS filename, strlen(coalesce(text, ''))::BIGINT AS bytes, md5(coalesce(text, '')) AS text_md5 FROM documents",
+    "flagged_order": f"WITH {_ALL_SCORES} SELECT a, b, first_band, first_key, row_number() OVER (ORDER BY first_band, first_key, a, b) - 1 AS place FROM score JOIN pair USING (a, b) WHERE combined >= 0.75",
+    "flagged_names": f"WITH {_ALL_SCORES} SELECT {_NAME.format('a')} AS doc_a, {_NAME.format('b')} AS doc_b, round(cosine, 6) AS cosine, round(rabin_karp, 6) AS rabin_karp, round(combined, 6) AS score FROM score WHERE combined >= 0.5",
+    "ai_ranking": f"WITH {_ALL_AI} SELECT doc_id, round(ai_score, 6) AS ai_score, row_number() OVER (ORDER BY round(ai_score, 6) DESC, doc_id) - 1 AS place FROM ai",
+    "written_pairs": f"WITH {_ALL_SCORES} SELECT a, b, {_ROUNDED} FROM score WHERE combined >= 0.75",
+    "written_scores": f"WITH {_ALL_AI} SELECT {_NAME.format('doc_id')} AS filename, (ai_score >= 50)::VARCHAR AS flagged FROM ai",
+    "banded_candidates": f"WITH {_TOK}, {_SIG}, {_bands(8, 10)} SELECT * FROM pair",
+    "banding_fallback": f"WITH {_ALL_PAIRS} SELECT a, b FROM pair",
+    "corpus_ngrams": f"WITH {_CORPUS} SELECT gram, n AS cnt FROM n2",
+    "corpus_perplexity": f"WITH {_TOK}, {_CORPUS}, {_CORPUS_P} SELECT doc_id, round(CASE WHEN len(t) = 0 THEN 1000 WHEN len(t) < 2 THEN 500 / len(t) ELSE e END, 6) AS perplexity FROM tok LEFT JOIN e USING (doc_id)",
+    "stopword_file": "SELECT doc_id, len(" + _cut("text", "'the', 'of', 'and'") + ")::BIGINT AS tokens FROM documents",
+    "escaped_texts": """SELECT doc_id, md5(CASE WHEN regexp_matches(coalesce(text, ''), '[",\\n\\r]') THEN '"' || replace(text, '"', '""') || '"' ELSE coalesce(text, '') END) AS csv_md5, md5(to_json(coalesce(text, ''))::VARCHAR) AS json_md5 FROM documents""",
     "tokenize": f"WITH {_TOK} SELECT doc_id, unnest(range(len(t))) AS pos, unnest(t) AS token FROM tok",
     "token_totals": f"WITH {_TOK} SELECT (SELECT count(*) FROM tok) AS documents, (SELECT sum(len(t)) FROM tok)::BIGINT AS tokens, (SELECT count(DISTINCT x) FROM (SELECT unnest(t) AS x FROM tok)) AS vocabulary",
     "term_counts": f"WITH {_TOK}, {_TF} SELECT doc_id, term, cnt FROM tf",

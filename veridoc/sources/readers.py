@@ -8,7 +8,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import STOPWORDS
+from ..functions.text import STOPWORDS, basename
+from ..operators.ranks import numbered
 
 MOST_FILES, MOST_BYTES = 200, 5 * 1024 * 1024
 TEXT_FILES = "*.[tT][xX][tT]"
@@ -19,21 +20,26 @@ class SourceError(ValueError):
 
 
 def from_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, path, filename, text, bytes) of the .txt files of a folder (not of folders in it); ids are
-    the ranks of the paths, from 0. The driver lists names and sizes, in any store; executors read the texts."""
+    """(doc_id, path, filename, text, bytes) of the .txt files of a folder (not of folders in it), in any store that
+    Spark reads; ids are the ranks of the paths, from 0. Names that begin with _ or . are hidden to Spark."""
     place = spark._jvm.org.apache.hadoop.fs.Path(folder)
     store = place.getFileSystem(spark._jsc.hadoopConfiguration())
     if not store.exists(place):
         raise SourceError(f"no folder {folder}")
-    found = [(f.getPath().toString(), f.getPath().getName(), f.getLen()) for f in store.listStatus(place) if f.isFile() and f.getPath().getName().lower().endswith(".txt") and len(f.getPath().getName()) > len(".txt")]
-    if not found:
+    # The source has no rows for empty files; only these are kept of the listing.
+    empty, listed = [], store.listStatusIterator(place)
+    while listed.hasNext():
+        file = listed.next()
+        name = file.getPath().getName()
+        if not file.getLen() and file.isFile() and name.lower().endswith(".txt") and name[0] not in "_.":
+            empty.append((file.getPath().toString(), name))
+    read = spark.read.format("binaryFile").option("pathGlobFilter", TEXT_FILES).load(folder)
+    files = read.select("path", basename(F.col("path")).alias("filename"), F.col("content").cast("string").alias("text"), F.col("length").alias("bytes"))
+    files = files.unionByName(spark.createDataFrame(empty, "path string, filename string").select("*", F.lit("").alias("text"), F.lit(0).cast("long").alias("bytes")))
+    documents = numbered(files.where(F.length("filename") > len(".txt")), "doc_id", F.col("path"))
+    if documents.isEmpty():
         raise SourceError(f"no .txt files in {folder}")
-    found.sort(key=lambda f: f[0].encode())
-    listed = spark.createDataFrame([(i, *f) for i, f in enumerate(found)], "doc_id long, path string, filename string, bytes long")
-    read = spark.read.option("wholetext", True).option("pathGlobFilter", TEXT_FILES).text(folder)
-    # The source has encoded paths, and no row for an empty file.
-    texts = read.select(F.url_decode(F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\+", "%2B")).alias("filename"), F.col("value").alias("text"))
-    return listed.join(texts, "filename", "left").select("doc_id", "path", "filename", F.coalesce("text", F.lit("")).alias("text"), "bytes")
+    return documents.select("doc_id", "path", "filename", "text", "bytes")
 
 
 def from_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -65,7 +71,7 @@ def read_corpus(spark: SparkSession, path: str | None) -> DataFrame | None:
     if not path:
         return None
     try:
-        corpus = spark.read.option("wholetext", True).text(path).select(F.col("value").alias("text"))
+        corpus = spark.read.text(path, wholetext=True).select(F.col("value").alias("text"))
     except Exception as error:
         if "PATH_NOT_FOUND" in str(error):
             return None

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,6 +95,22 @@ def write_tables(folder: str, documents: DataFrame, long: DataFrame, flagged: Da
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
+def write_folder(texts: DataFrame, folder: str) -> int:
+    """A file for each row of (filename, text) in a folder that all executors see; null texts make empty files. Returns
+    the number of files."""
+    pafs.FileSystem.from_uri(folder)[0].create_dir(pafs.FileSystem.from_uri(folder)[1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, place = pafs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name, text in zip(batch.column("filename").to_pylist(), batch.column("text").to_pylist()):
+                with store.open_output_stream(f"{place}/{name}") as file:
+                    file.write((text or "").encode("utf-8", "surrogatepass"))
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return texts.select("filename", "text").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def scores_csv(scores: DataFrame, path: str) -> None:
     """ai_scores.csv of any number of documents, as a folder of parts."""
     text = lambda c: F.format_string("%.3f", c)
