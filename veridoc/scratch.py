@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,11 +13,14 @@ _settled: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one where it is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir. Where it is unset, a temporary one in
+    local mode, and an error on a cluster."""
     global _own_scratch
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_scratch is None:
         _own_scratch = "file://" + tempfile.mkdtemp(prefix="veridoc-")
     return _own_scratch
