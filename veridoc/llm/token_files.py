@@ -41,6 +41,7 @@ from .common import read_table, scratch_path, settle
 SEQUENCE = 2048
 SEQUENCES_PER_BATCH = 64
 END_ID = 0
+PIECES_AT_ONCE = 20_000
 
 
 @cache
@@ -56,12 +57,27 @@ def _library(path: str, added_tokens: bool = False):
 
 @cache
 def _cache_for(path: str) -> PieceCache:
-    library = _library(path)
+    from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    library.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)  # the pieces are cut already
+    vocabulary = library.get_vocab()
+    width = np.zeros(max(vocabulary.values()) + 1, np.int64)
+    for token, i in vocabulary.items():
+        width[i] = len(token)  # a character for each byte
 
     def encode(new: list[str]) -> list[bytes]:
+        """Many pieces go to the library as the words of one text. Its ids are cut where the bytes of the tokens
+        add up to those of the pieces."""
         out: list[bytes] = []
-        for at in range(0, len(new), 20_000):
-            out += [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch_fast(new[at : at + 20_000], add_special_tokens=False)]
+        for at in range(0, len(new), PIECES_AT_ONCE):
+            words = new[at : at + PIECES_AT_ONCE]
+            ids = np.array(library.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.searchsorted(np.cumsum(width[ids]), np.cumsum([len(w.encode()) for w in words])) + 1) * 4
+            raw, bounds = ids.tobytes(), [0, *ends.tolist()]
+            out += [raw[a:b] for a, b in zip(bounds, bounds[1:])]
         return out
 
     return PieceCache(encode)
