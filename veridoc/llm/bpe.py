@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import by_text_size, read_table
 from .pretokenize import pieces
 
-CACHE_ENTRIES = 600_000  # of about 200 bytes
-CHARS_AT_ONCE = 2_000_000
+CACHE_ENTRIES = 200_000  # of about 200 bytes
+CHARS_AT_ONCE = 1_000_000  # about 100 bytes of arrays each; workers keep what they once took
 
 
 @cache
@@ -231,9 +231,9 @@ def _distinct(code: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np
     return lead, kind
 
 
-def encode_texts(texts: list[str], known: PieceCache) -> Iterator[bytes]:
+def encode_texts(texts: list[str], known: PieceCache, chars: int = CHARS_AT_ONCE) -> Iterator[bytes]:
     """The ids of each text as little-endian unsigned 32-bit integers."""
-    for run in by_text_size(texts, CHARS_AT_ONCE):
+    for run in by_text_size(texts, chars):
         joined, first, end, upto = pieces(texts[run.start : run.stop])
         if not len(first):
             yield from (b"" for _ in upto)

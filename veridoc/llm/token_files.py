@@ -42,6 +42,8 @@ SEQUENCE = 2048
 SEQUENCES_PER_BATCH = 64
 END_ID = 0
 PIECES_AT_ONCE = 20_000
+CACHE_ENTRIES = 600_000
+CHARS_AT_ONCE = 2_000_000
 
 
 @cache
@@ -80,7 +82,7 @@ def _cache_for(path: str) -> PieceCache:
             out += [raw[a:b] for a, b in zip(bounds, bounds[1:])]
         return out
 
-    return PieceCache(encode)
+    return PieceCache(encode, CACHE_ENTRIES)
 
 
 def _encode(texts: list[str], tokenizer: str, added_tokens: bool) -> Iterator[bytes]:
@@ -88,7 +90,7 @@ def _encode(texts: list[str], tokenizer: str, added_tokens: bool) -> Iterator[by
     known = _cache_for(tokenizer)
     added = [t.content for t in _library(tokenizer).get_added_tokens_decoder().values()] if added_tokens else []
     whole = {i for i, t in enumerate(texts) if any(a in t for a in added)}
-    for i, packed in enumerate(encode_texts(["" if i in whole else t for i, t in enumerate(texts)], known)):
+    for i, packed in enumerate(encode_texts(["" if i in whole else t for i, t in enumerate(texts)], known, CHARS_AT_ONCE)):
         if i in whole:
             packed = np.array(_library(tokenizer, True).encode_batch_fast([texts[i]], add_special_tokens=False)[0].ids, "<u4").tobytes()
         yield packed
