@@ -350,6 +350,48 @@ def test_levels_of_a_long_chain(spark, monkeypatch):
     assert {(r.conv_id, r.link): r.level for r in chat.call_levels(calls).collect()} == {**{(1, f"={i}"): i for i in range(10)}, (2, "=9"): None, (None, "=1"): 0}
 
 
+def test_query_checks_declared_schemas(spark, tmp_path):
+    """op2_chat itself: arguments against the schemas of the conversation, rows in order, canonical objects."""
+    find = '{"name":"find","parameters":{"type":"object","properties":{"city":{"type":"string"},"n":{"type":["integer","null"]},"any":true},"required":["city"],"additionalProperties":false}}'
+    call = lambda i, name, arguments: f'{{"id":"{i}","name":"{name}","arguments":{arguments}}}'
+    asked = [call("a", "find", '{"city":3}'), call("b", "find", '{"city":"x","n":1.5,"w":1}'), call("c", "find", '{"n":null}'), call("d", "nope", "{}"), call("e", "ping", '{"k":1}'), call("f", "find", '{"n":12345678901234567890,"city":"x","any":[{"z":0.1234567890123456789,"y":1e2}]}'), call("g", "find", '{"city":"x","n":1e30}')]
+    turns = [
+        (1, 2, "tool", '{"tool_call_id":"b","content":{"y":[{"d":1.10,"c":0.1234567890123456789}],"x":2}}'),
+        (1, 1, "assistant", '{"content":[{"type":"text","text":"t"}],"tool_calls":[' + ",".join(asked) + "]}"),
+        (1, 3, "tool", '{"tool_call_id":"a","content":"{\\"y\\": 1, \\"x\\": 2}"}'),
+        (1, 0, "system", '{"tools":[' + find + ',{"type":"function","function":{"name":"ping"}},{"name":"find"},3]}'),
+        (2, 0, "assistant", '{"tool_calls":[' + call("a", "find", '{"city":3}') + "]}"),  # another conversation
+        (3, 1, "assistant", '{"tool_calls":[' + call("a", "find", "{}") + "," + call("b", "own", '{"p":"x"}') + "," + call("c", "none", "{}") + "]}"),
+        (3, 2, "system", '{"tools":[{"name":"own","parameters":{"required":["p","q"]}}]}'),
+        (None, 0, "system", '{"tools":[' + find + "]}"),
+        (None, 1, "assistant", '{"tool_calls":[' + call("a", "find", '{"city":3}') + "]}"),
+        (4, 0, "system", '{"tools":"none"}'),
+        (4, 1, "assistant", '{"tool_calls":[{"id":"y","name":"f","depends_on":["x"]},{"id":"x","name":"f"}]}'),
+        (4, 2, "tool", '{"tool_call_id":"y","content":"1"}'),
+        (4, 3, "tool", '{"tool_call_id":"x","content":"2"}'),
+    ]
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    table.write.parquet(f"{tmp_path}/conversations.parquet")
+    rows = chat.op2_chat(spark, str(tmp_path)).collect()
+    errors = {(r.conv_id, r.call_id): [e for e in r.errors.split("; ") if e not in ("", "no result")] for r in rows if r.kind == "call"}
+    assert errors == {
+        (1, "a"): ["no string: city"], (1, "b"): ["no integer|null: n", "unexpected w"], (1, "c"): ["missing city"], (1, "d"): ["unknown tool nope"], (1, "e"): [], (1, "f"): [], (1, "g"): [],
+        (2, "a"): [], (3, "a"): ["unknown tool find"], (3, "b"): ["missing q"], (3, "c"): ["unknown tool none"], (None, "a"): [], (4, "x"): [], (4, "y"): [],
+    }
+    messages = {(r.conv_id, r.call_id, r.kind): json.loads(r.message) for r in rows}
+    assert next(r.message for r in rows if r.call_id == "f") == '{"arguments":{"any":[{"y":100,"z":0.1234567890123456789}],"city":"x","n":12345678901234567890},"id":"f","name":"find","role":"assistant"}'
+    assert messages[1, "b", "result"]["content"] == '{"x":2,"y":[{"c":0.1234567890123456789,"d":1.1}]}'
+    assert messages[1, "a", "result"]["content"] == '{"y": 1, "x": 2}'  # a string stays as it is
+    assert '[{"text":"t","type":"text"}]' in [json.loads(r.message)["content"] for r in rows if r.kind == "text"]
+    assert [(r.turn, r.call_id, r.kind) for r in rows if r.conv_id == 4] == [(0, "", "text"), (1, "x", "call"), (3, "x", "result"), (1, "y", "call"), (2, "y", "result")]
+    assert [r.turn for r in rows if r.conv_id == 1 and r.kind == "text"] == [0, 1] and rows[0].conv_id is None
+
+    schemas = spark.createDataFrame([("find", "city", "string", True), ("own", "r", "string", True)], "name string, parameter string, type string, required boolean")
+    both = {(r.conv_id, r.call_id): r.errors for r in chat.format_chat(table, schemas).collect() if r.kind == "call"}
+    assert both[1, "a"] == "no string: city" and both[2, "a"] == both[None, "a"] == "no result; no string: city"
+    assert both[3, "a"] == "no result; missing city" and both[3, "b"] == "no result; missing q" and both[3, "c"] == "no result; unknown tool none"
+
+
 # ------------------------------------------------------------------------------------------------ licenses
 def test_licenses(spark):
     mit = licenses.TEMPLATES["mit-notice"]

@@ -5,18 +5,27 @@ calls {id, name, arguments, depends_on}; a text of role `tool` that is a JSON ob
 result. Calls and results are linked by a hash join on conversation and identifier. Calls are put in
 topological order: a call's level is one more than the highest level it depends on, found in rounds of joins,
 a round for each level (a row of a cycle gets no level). Arguments are checked against schemas
-(name, parameter, type, required), one row for each parameter, by a join on the tool's name. Every message
-comes out as one line of canonical JSON: keys sorted at every depth, no spaces, numbers as parsed.
+(name, parameter, type, required), one row for each parameter, by a join on the tool's name. Schemas are those
+that a conversation declares, and those the caller passes. Every message comes out as one line of canonical JSON:
+keys sorted at every depth, also in arguments and contents that are objects, no spaces, numbers as parsed.
 
-The result is a row for each message and each call, in the order (anchor turn, level, part): results stand
-right behind their calls. It is not gathered by conversation, so a conversation of any length is spread.
+The result is a row for each message and each call, sorted by (conversation, anchor turn, level, part): in a turn,
+calls stand behind those they depend on and results right behind their calls. A call that depends on one of a later
+turn keeps its turn; levels tell. It is sorted by ranges, not gathered by conversation, so a conversation of any
+length is spread.
+
+A conversation declares its tools in texts of role `system` that are JSON objects with `tools`: {name, parameters}, or
+{function: {name, parameters}}, where `parameters` is a JSON schema. Read from it are `properties` with their `type` (or
+types), `required`, and `additionalProperties` where it is false; nested schemas and other keywords are not checked. The
+text itself stays a plain message.
 
 Defined results: null roles are `user`, null texts empty; texts that aren't such JSON are plain; a result
 without a call, a second result for a call, a call without a result or identifier, or a second call of one
 identifier is kept and marked in `errors`; of ties the least (turn, part) counts; null conversations and calls
 without an identifier link with nothing, and such a call's level is that of what it depends on; an empty table gives
-an empty result. Levels may be any number deep, and only calls within or behind a cycle have none. Without schemas
-arguments only have to be a JSON object.
+an empty result. Levels may be any number deep, and only calls within or behind a cycle have none. A tool declared
+twice counts as first declared, before or after its calls; it hides the caller's of that name. Tools without a name
+declare nothing. Where neither the conversation nor the caller has schemas, arguments only have to be a JSON object.
 """
 
 from __future__ import annotations
@@ -28,14 +37,25 @@ from .common import discard, read_table, settle
 
 _CALLS = "content string, tool_calls array<struct<id:string,name:string,arguments:string,depends_on:array<string>>>"
 _RESULT = "tool_call_id string, content string"
+_TOOL = "name string, parameters string, function struct<name:string,parameters:string>"
+_PARAMETERS = "properties map<string,string>, required array<string>, additionalProperties string"
 ROUNDS_APART = 32  # rounds of levels that a plan reads one by one
 #: Spark's names of a variant's types, by the names schemas use.
-TYPES = {"string": "STRING", "integer": "BIGINT", "number": "BIGINT|DOUBLE|DECIMAL.*|FLOAT", "boolean": "BOOLEAN", "object": "OBJECT.*", "array": "ARRAY.*", "null": "VOID"}
+TYPES = {"string": "STRING", "integer": r"BIGINT|DECIMAL\(\d+,0\)", "number": "BIGINT|DOUBLE|DECIMAL.*|FLOAT", "boolean": "BOOLEAN", "object": "OBJECT.*", "array": "ARRAY.*", "null": "VOID"}
 
 
 def canonical(text: Column) -> Column:
-    """A JSON text with sorted keys and no spaces; null if it doesn't parse."""
-    return F.to_json(F.try_parse_json(text))
+    """A JSON text with sorted keys and no spaces; null if it doesn't parse. Read twice, for 1e2 is written 100.0 first."""
+    return F.to_json(F.try_parse_json(F.to_json(F.try_parse_json(text))))
+
+
+def _at(value: Column, path: str, type_: str = "variant") -> Column:
+    return F.try_variant_get(value, F.lit(path), type_)
+
+
+def _nested(value: Column, plain: Column) -> Column:
+    """plain, or canonical JSON of a value that is an object or array: from_json keeps its order and rounds its numbers."""
+    return F.when(F.rlike(F.schema_of_variant(value), F.lit("^(OBJECT|ARRAY)")), canonical(F.to_json(value))).otherwise(plain)
 
 
 def parse_turns(turns: DataFrame) -> DataFrame:
@@ -51,10 +71,31 @@ def parse_turns(turns: DataFrame) -> DataFrame:
 def find_calls(parsed: DataFrame) -> DataFrame:
     """(conv_id, turn, part, call_id, link, name, arguments, depends_on) of every call. link is what calls are joined by:
     the identifier, or the call's own place if it has none."""
-    each = parsed.where("calls IS NOT NULL").select("conv_id", "turn", F.posexplode("calls.tool_calls").alias("part", "call"))
+    values = F.coalesce(_at(F.try_parse_json("text"), "$.tool_calls", "array<variant>"), F.array().cast("array<variant>"))
+    both = F.arrays_zip(F.col("calls.tool_calls").alias("call"), values.alias("value"))
+    each = parsed.where("calls IS NOT NULL").select("conv_id", "turn", F.posexplode(both).alias("part", "both"))
+    each = each.select("conv_id", "turn", "part", "both.call", "both.value")
+    arguments = _nested(_at(F.col("value"), "$.arguments"), F.col("call.arguments"))
     own = F.concat(F.lit("!"), F.coalesce(F.col("turn").cast("string"), F.lit("")), F.lit(":"), F.col("part").cast("string"))
     link = F.coalesce(F.concat(F.lit("="), "call.id"), own)
-    return each.select("conv_id", "turn", (F.col("part") + 1).alias("part"), F.col("call.id").alias("call_id"), link.alias("link"), F.coalesce("call.name", F.lit("")).alias("name"), F.coalesce("call.arguments", F.lit("{}")).alias("arguments"), "call.depends_on")
+    return each.select("conv_id", "turn", (F.col("part") + 1).alias("part"), F.col("call.id").alias("call_id"), link.alias("link"), F.coalesce("call.name", F.lit("")).alias("name"), F.coalesce(arguments, F.lit("{}")).alias("arguments"), "call.depends_on")
+
+
+def declared_schemas(parsed: DataFrame) -> DataFrame:
+    """(conv_id, name, parameter, type, required, open): a row for each parameter of the tools that conversations declare,
+    and one without parameter for a tool that has none. type may name several, as a|b; open takes other parameters too."""
+    said = parsed.where((F.col("role") == "system") & F.ltrim("text").startswith("{") & F.col("conv_id").isNotNull())
+    each = said.select("conv_id", "turn", F.posexplode(F.from_json("text", "tools array<string>").tools).alias("part", "tool"))
+    each = each.withColumn("tool", F.from_json("tool", _TOOL))
+    each = each.select("conv_id", F.coalesce("tool.function.name", "tool.name").alias("name"), F.struct("turn", "part", F.coalesce("tool.function.parameters", "tool.parameters").alias("parameters")).alias("at")).where("name IS NOT NULL")
+    first = each.groupBy("conv_id", "name").agg(F.min("at").alias("at")).withColumn("schema", F.from_json("at.parameters", _PARAMETERS))
+    none = F.array().cast("array<string>")
+    required = F.coalesce("schema.required", none)
+    names = F.array_union(F.coalesce(F.map_keys("schema.properties"), none), required)
+    each = first.select("conv_id", "name", F.explode_outer(names).alias("parameter"), F.col("schema.properties").alias("properties"), required.alias("needed"), F.coalesce(F.col("schema.additionalProperties") != "false", F.lit(True)).alias("open"))
+    kind = F.from_json(F.element_at("properties", F.col("parameter")), "type string").type
+    kinds = F.coalesce(F.from_json(kind, "array<string>"), F.array(kind))
+    return each.select("conv_id", "name", "parameter", F.when(kind.isNotNull(), F.array_join(kinds, "|")).alias("type"), F.coalesce(F.array_contains("needed", F.col("parameter")), F.lit(False)).alias("required"), "open")
 
 
 def call_levels(calls: DataFrame) -> DataFrame:
@@ -89,28 +130,40 @@ def _united(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
-def argument_errors(calls: DataFrame, schemas: DataFrame | None) -> DataFrame:
-    """(conv_id, turn, part, wrong array<string>) of calls whose arguments don't fit."""
+def argument_errors(calls: DataFrame, schemas: DataFrame | None, declared: DataFrame) -> DataFrame:
+    """(conv_id, turn, part, wrong array<string>) of calls whose arguments don't fit. Rules have the conversation that
+    declares them as their scope, the caller's none."""
     at = ["conv_id", "turn", "part"]
+    tool = ["name", "scoped", "scope"]  # a scope is never null, so that joins on it hash
     parsed = calls.select(*at, "name", F.try_parse_json("arguments").alias("value"))
     is_object = F.coalesce(F.schema_of_variant("value").startswith("OBJECT"), F.lit(False))
     broken = parsed.where(~is_object).select(*at, F.lit("arguments are no object").alias("wrong"))
-    if schemas is None:
-        return broken.groupBy(*at).agg(F.array_sort(F.collect_set("wrong")).alias("wrong"))
-    rules = schemas.select("name", F.col("parameter").alias("rule"), F.lower("type").alias("type"), F.coalesce("required", F.lit(False)).alias("required"))
-    good = parsed.where(is_object)
+    own = declared.select("name", F.lit(True).alias("scoped"), F.col("conv_id").alias("scope"), F.col("parameter").alias("rule"), F.lower("type").alias("type"), "required", "open")
+    rules = own
+    if schemas is not None:
+        rules = own.unionByName(schemas.select("name", F.lit(False).alias("scoped"), F.lit(0).cast(declared.schema["conv_id"].dataType).alias("scope"), F.col("parameter").alias("rule"), F.lower("type").alias("type"), F.coalesce("required", F.lit(False)).alias("required"), F.lit(False).alias("open")))
+    tools = declared.select("conv_id", "name", F.lit(True).alias("scoped")).distinct()
+    good = parsed.where(is_object).join(tools, ["conv_id", "name"], "left")
+    scope = F.when(F.col("scoped"), F.col("conv_id")).otherwise(F.lit(0).cast(declared.schema["conv_id"].dataType))
+    good = good.select(*at, "name", F.coalesce("scoped", F.lit(False)).alias("scoped"), scope.alias("scope"), "value")
     keys = F.map_keys(F.from_json(F.to_json("value"), "map<string,string>"))
     raw = F.from_json(F.to_json("value"), "map<string,variant>")
-    unknown = good.join(rules.select("name").distinct(), "name", "left_anti").select(*at, F.concat(F.lit("unknown tool "), "name").alias("wrong"))
-    checked = good.withColumn("raw", raw).join(rules, "name")
-    kind = F.schema_of_variant(F.get("raw_value", F.lit(0)))
+    bound = good if schemas is not None else good.join(declared.select("conv_id").distinct(), "conv_id", "left_semi")
+    unknown = bound.join(rules.select(*tool).distinct(), tool, "left_anti").select(*at, F.concat(F.lit("unknown tool "), "name").alias("wrong"))
+    checked = good.withColumn("raw", raw).join(rules, tool)
+    value = F.get("raw_value", F.lit(0))
+    kind = F.schema_of_variant(value)
     checked = checked.withColumn("raw_value", F.array(F.element_at("raw", F.col("rule"))))
-    pattern = F.create_map(*(F.lit(x) for pair in TYPES.items() for x in pair))[F.col("type")]
+    types = F.split("type", r"\|")
+    patterns = F.transform(types, lambda t: F.create_map(*(F.lit(x) for pair in TYPES.items() for x in pair))[t])
     missing = checked.where(F.col("required") & ~F.array_contains(keys, F.col("rule"))).select(*at, F.concat(F.lit("missing "), "rule").alias("wrong"))
-    present = checked.where(F.array_contains(keys, F.col("rule")) & pattern.isNotNull())
-    mistyped = present.where(~F.coalesce(F.rlike(kind, F.concat(F.lit("^("), pattern, F.lit(")$"))), F.lit(False))).select(*at, F.concat(F.lit("no "), "type", F.lit(": "), "rule").alias("wrong"))
-    named = rules.groupBy("name").agg(F.collect_set("rule").alias("rules"))  # parameters of one tool
-    extra = good.select(*at, "name", F.explode(keys).alias("key")).join(named, "name").where(~F.array_contains("rules", F.col("key"))).select(*at, F.concat(F.lit("unexpected "), "key").alias("wrong"))
+    present = checked.where(F.array_contains(keys, F.col("rule")) & ~F.exists(patterns, lambda p: p.isNull()))
+    number = _at(value, "$", "double")
+    whole = F.array_contains(types, "integer") & (kind == "DOUBLE") & (F.rint(number) == number)
+    fits = F.rlike(kind, F.concat(F.lit("^("), F.array_join(patterns, "|"), F.lit(")$"))) | whole
+    mistyped = present.where(~F.coalesce(fits, F.lit(False))).select(*at, F.concat(F.lit("no "), "type", F.lit(": "), "rule").alias("wrong"))
+    named = rules.where("NOT open").groupBy(*tool).agg(F.collect_set("rule").alias("rules"))  # parameters of one tool
+    extra = good.select(*at, *tool, F.explode(keys).alias("key")).join(named, tool).where(~F.array_contains("rules", F.col("key"))).select(*at, F.concat(F.lit("unexpected "), "key").alias("wrong"))
     every = broken.unionByName(unknown).unionByName(missing).unionByName(mistyped).unionByName(extra)
     return every.groupBy(*at).agg(F.array_sort(F.collect_set("wrong")).alias("wrong"))
 
@@ -119,15 +172,17 @@ def format_chat(turns: DataFrame, schemas: DataFrame | None = None) -> DataFrame
     """(conv_id, turn, part, anchor, level, kind, role, call_id, errors, message): one row per message or call.
     kind is text, call or result; anchor is the turn a row stands by: a result's is its call's."""
     parsed = parse_turns(turns)
-    calls = find_calls(parsed)
+    calls = settle(find_calls(parsed), "calls")
     on = ["conv_id", "link"]
     first_call = calls.where("call_id IS NOT NULL").groupBy(*on).agg(F.min(F.struct("turn", "part")).alias("call_at"))
-    results = parsed.where("result IS NOT NULL").select("conv_id", "turn", F.col("result.tool_call_id").alias("call_id"), F.concat(F.lit("="), "result.tool_call_id").alias("link"), F.coalesce("result.content", F.lit("")).alias("content"))
+    content = _nested(_at(F.try_parse_json("text"), "$.content"), F.col("result.content"))
+    results = parsed.where("result IS NOT NULL").select("conv_id", "turn", F.col("result.tool_call_id").alias("call_id"), F.concat(F.lit("="), "result.tool_call_id").alias("link"), F.coalesce(content, F.lit("")).alias("content"))
     first_result = results.groupBy(*on).agg(F.min("turn").alias("result_at"))
     error = lambda test, what: F.when(test, F.array(F.lit(what))).otherwise(F.array().cast("array<string>"))
 
     levels = settle(call_levels(calls), "levels")
-    wrong = argument_errors(calls, schemas).select(F.struct("conv_id", "turn", "part").alias("place"), "wrong")
+    declared = settle(declared_schemas(parsed), "schemas")
+    wrong = argument_errors(calls, schemas, declared).select(F.struct("conv_id", "turn", "part").alias("place"), "wrong")
     linked = calls.join(first_result.hint("shuffle_hash"), on, "left").join(first_call.hint("shuffle_hash"), on, "left").join(levels, on, "left")
     linked = linked.join(wrong, F.struct("conv_id", "turn", "part").eqNullSafe(F.col("place")), "left")
     level = F.when(F.col("conv_id").isNull(), 0).otherwise(F.col("level"))
@@ -141,11 +196,11 @@ def format_chat(turns: DataFrame, schemas: DataFrame | None = None) -> DataFrame
     result_json = F.concat(F.lit('{"content":'), _quoted(F.col("content")), F.lit(',"role":"tool","tool_call_id":'), _quoted(F.col("call_id")), F.lit("}"))
     result_rows = placed.select("conv_id", "turn", F.coalesce("call_at.part", F.lit(0)).alias("part"), F.coalesce("call_at.turn", "turn").alias("anchor"), "level", F.lit("result").alias("kind"), F.lit("tool").alias("role"), "call_id", F.array_join(result_errors, "; ").alias("errors"), result_json.alias("message"))
 
-    said = F.when(F.col("calls").isNotNull(), F.coalesce("calls.content", F.lit(""))).otherwise(F.col("text"))
+    said = F.when(F.col("calls").isNotNull(), F.coalesce(_nested(_at(F.try_parse_json("text"), "$.content"), F.col("calls.content")), F.lit(""))).otherwise(F.col("text"))
     text_json = F.concat(F.lit('{"content":'), _quoted(said), F.lit(',"role":'), _quoted(F.col("role")), F.lit("}"))
     texts = parsed.where("result IS NULL AND (calls IS NULL OR calls.content IS NOT NULL)")
     text_rows = texts.select("conv_id", "turn", F.lit(0).alias("part"), F.col("turn").alias("anchor"), F.lit(0).alias("level"), F.lit("text").alias("kind"), "role", F.lit("").alias("call_id"), F.lit("").alias("errors"), text_json.alias("message"))
-    return text_rows.unionByName(call_rows).unionByName(result_rows)
+    return text_rows.unionByName(call_rows).unionByName(result_rows).orderBy("conv_id", "anchor", F.asc_nulls_last("level"), "part", "kind", "turn")
 
 
 def _quoted(text: Column) -> Column:
