@@ -2,11 +2,15 @@
 
 import itertools
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import brute
 from veridoc import queries
+from veridoc.functions import hashing
 from veridoc.operators import blocks, candidates, similarity, terms
 
 
@@ -65,3 +69,45 @@ def test_blocks_give_the_scores_of_all_pairs(spark, monkeypatch):
             assert (r.first_band, r.first_key, r.cosine, r.rabin_karp) == pytest.approx(expected[r.a, r.b])
         pairs = candidates.candidate_pairs(candidates.band_lists(tokens)).collect()
         assert {(r.a, r.b): (r.first_band, r.first_key) for r in pairs} == {k: v[:2] for k, v in expected.items()} and len(pairs) == len(expected)
+
+
+class Given:
+    """Stands for a table, and hands back the function that is mapped over it."""
+
+    def __init__(self, spark):
+        self.schema = spark.createDataFrame([], "doc_id long, tokens array<string>").schema
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+@pytest.mark.parametrize("make", [candidates.signatures, candidates.band_lists, candidates.fingerprints])
+def test_a_worker_holds_a_run_of_tokens_and_not_a_batch(spark, make):
+    words = pa.array([f"w{i}" for i in range(3000)])
+    picks = pa.array(np.random.default_rng(2).integers(0, 3000, 1_500_000))
+    tokens = pa.ListArray.from_arrays(pa.array(np.arange(0, 1_500_001, 1000), pa.int32()), words.take(picks))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1500)), tokens], ["doc_id", "tokens"])
+    run = make(Given(spark))
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in run(iter([batch]))) == 1500
+        assert tracemalloc.get_traced_memory()[1] < 40e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_runs_and_seed_groups_change_no_hash(monkeypatch):
+    random.seed(4)
+    documents = [[random.choice("abcdefgh") * random.randint(1, 9) for _ in range(random.randint(0, 30))] for _ in range(40)]
+    expected = [brute.signature(d) for d in documents]
+    assert hashing.signatures(documents).tolist() == expected
+    for name, value in (("TOKENS_AT_ONCE", 25), ("ROWS_AT_ONCE", 3), ("CELLS_AT_ONCE", 70)):
+        monkeypatch.setattr(hashing, name, value)
+    lists = pa.array(documents, pa.list_(pa.string())).slice(3)
+    found = list(hashing.runs(lists))
+    assert [a for a, _ in found[1:]] == [b for _, b in found[:-1]] and found[0][0] == 0 and found[-1][1] == len(lists) and len(found) > 5
+    assert [row for a, b in found for row in hashing.signatures(lists.slice(a, b - a)).tolist()] == expected[3:]
+    assert [set(map(int, row)) for a, b in found for row in hashing.fingerprints(lists.slice(a, b - a))] == [brute.prints(d) for d in documents[3:]]
