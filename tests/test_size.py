@@ -11,7 +11,7 @@ import pytest
 import brute
 from veridoc import queries
 from veridoc.functions import hashing
-from veridoc.operators import blocks, candidates, similarity, terms
+from veridoc.operators import authorship, blocks, candidates, similarity, terms
 
 
 def shuffled(spark, action) -> int:
@@ -71,6 +71,40 @@ def test_blocks_give_the_scores_of_all_pairs(spark, monkeypatch):
         assert {(r.a, r.b): (r.first_band, r.first_key) for r in pairs} == {k: v[:2] for k, v in expected.items()} and len(pairs) == len(expected)
 
 
+SENTENCES = " ".join(f"The quick brown fox jumps over w{i}." for i in range(30))
+
+
+@pytest.mark.parametrize("name", ["sentence_perplexity", "ai_scores", "ai_ranking", "written_scores"])
+def test_ngrams_and_sentences_are_not_shuffled(spark, tmp_path, name):
+    where = table(spark, tmp_path, [f"{SENTENCES} {i}" for i in range(100)])
+    rows = []
+    records = shuffled(spark, lambda: rows.extend(queries.QUERIES[name](spark, where).collect()))
+    assert len(rows) == 100 * (31 if name == "sentence_perplexity" else 1)
+    assert records < 1200  # the documents a few times, the model's n-grams, and not the 3,100 sentences
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_a_model_that_is_joined_gives_the_same(spark, monkeypatch, order):
+    random.seed(6)
+    words = [f"w{i}" for i in range(6)]
+    texts = ["".join(random.choice(words) + random.choice(" . !") + " " for _ in range(random.randint(0, 40))) for _ in range(20)]
+    source = spark.createDataFrame(list(enumerate([*texts, "", None, "w1", "... !!!"])), "doc_id long, text string")
+    corpus = " ".join(random.choices(words[:4], k=60))
+    tokens = terms.tokenized(source)
+    cut = [r.tokens for r in tokens.orderBy("doc_id").collect()]
+    for most in (authorship.MOST_SENT, 2):
+        monkeypatch.setattr(authorship, "MOST_SENT", most)
+        monkeypatch.setattr(authorship, "TOKENS_AT_ONCE", 50)
+        model = authorship.train(spark, spark.createDataFrame([(corpus,)], "text string"), order)
+        found = {r.doc_id: r.perplexity for r in authorship.perplexity(tokens, ["doc_id"], model).collect()}
+        assert found == pytest.approx({i: brute.perplexity(t, corpus.split(), order) for i, t in enumerate(cut)})
+        scores = {r.doc_id: (r.mean_perplexity, r.perplexity_variance) for r in authorship.authorship_scores(source, tokens, model).collect()}
+        for i, text in enumerate(texts):
+            parts = [brute.perplexity(p.split(), corpus.split(), order) for p in text.replace("!", ".").split(".") if p.split()]
+            spread = sum((p - found[i]) ** 2 for p in parts) / len(parts) if len(parts) > 1 else 0
+            assert scores[i] == pytest.approx((found[i], spread))
+
+
 class Given:
     """Stands for a table, and hands back the function that is mapped over it."""
 
