@@ -12,6 +12,7 @@ import brute
 from veridoc import queries
 from veridoc.functions import hashing
 from veridoc.operators import authorship, blocks, candidates, similarity, terms
+from veridoc.sources import readers
 
 
 def shuffled(spark, action) -> int:
@@ -71,6 +72,20 @@ def test_blocks_give_the_scores_of_all_pairs(spark, monkeypatch):
         assert {(r.a, r.b): (r.first_band, r.first_key) for r in pairs} == {k: v[:2] for k, v in expected.items()} and len(pairs) == len(expected)
 
 
+def test_a_file_is_opened_once(spark, tmp_path, monkeypatch):
+    for i in range(40):
+        (tmp_path / f"{i:03}.txt").write_text(f"text {i}" if i % 9 else "")
+    (tmp_path / "a b%20c.txt").write_text("")
+    numbered, sorted_ = readers.numbered, []
+    monkeypatch.setattr(readers, "numbered", lambda df, *order: sorted_.append(df) or numbered(df, *order))
+    rows = readers.from_folder(spark, str(tmp_path)).orderBy("doc_id").collect()
+    names = sorted([f"{i:03}.txt" for i in range(40)] + ["a b%20c.txt"])
+    assert [(r.doc_id, r.filename, r.bytes, r.text) for r in rows] == [(i, n, (tmp_path / n).stat().st_size, (tmp_path / n).read_text()) for i, n in enumerate(names)]
+    assert {r.path.rpartition("/")[0] for r in rows} == {f"file:{tmp_path}"}
+    plan = sorted_[0]._jdf.queryExecution().toString()
+    assert sorted_[0].columns == ["path"] and "binaryFile" not in plan  # sorting reads its input twice
+
+
 SENTENCES = " ".join(f"The quick brown fox jumps over w{i}." for i in range(30))
 
 

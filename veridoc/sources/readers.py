@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS, basename
 from ..operators.ranks import numbered
+from ..scratch import settle
 
 MOST_FILES, MOST_BYTES = 200, 5 * 1024 * 1024
 TEXT_FILES = "*.[tT][xX][tT]"
+TASK_BYTES = 64 * 1024 * 1024
 
 
 class SourceError(ValueError):
@@ -26,20 +28,32 @@ def from_folder(spark: SparkSession, folder: str) -> DataFrame:
     store = place.getFileSystem(spark._jsc.hadoopConfiguration())
     if not store.exists(place):
         raise SourceError(f"no folder {folder}")
+    place = store.makeQualified(place)
     # The source has no rows for empty files; only these are kept of the listing.
-    empty, listed = [], store.listStatusIterator(place)
-    while listed.hasNext():
-        file = listed.next()
-        name = file.getPath().getName()
-        if not file.getLen() and file.isFile() and name.lower().endswith(".txt") and name[0] not in "_.":
-            empty.append((file.getPath().toString(), name))
+    empty = [(f"{place.toString().rstrip('/')}/{name}", name) for name in _empty_files(store, place) if name.lower().endswith(".txt") and name[0] not in "_."]
     read = spark.read.format("binaryFile").option("pathGlobFilter", TEXT_FILES).load(folder)
-    files = read.select("path", basename(F.col("path")).alias("filename"), F.col("content").cast("string").alias("text"), F.col("length").alias("bytes"))
+    # Small files are put in tasks by a cost of opening, which makes a task of some dozens.
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(str(read._jdf.queryExecution().analyzed().stats().sizeInBytes())) // TASK_BYTES)
+    files = read.coalesce(tasks).select("path", basename(F.col("path")).alias("filename"), F.col("content").cast("string").alias("text"), F.col("length").alias("bytes"))
     files = files.unionByName(spark.createDataFrame(empty, "path string, filename string").select("*", F.lit("").alias("text"), F.lit(0).cast("long").alias("bytes")))
-    documents = numbered(files.where(F.length("filename") > len(".txt")), "doc_id", F.col("path"))
-    if documents.isEmpty():
+    # Each file is opened once: the order is that of the written paths alone.
+    files = settle(files.where(F.length("filename") > len(".txt")), "files")
+    if files.isEmpty():
         raise SourceError(f"no .txt files in {folder}")
-    return documents.select("doc_id", "path", "filename", "text", "bytes")
+    return files.join(numbered(files.select("path"), "doc_id", F.col("path")), "path").select("doc_id", "path", "filename", "text", "bytes")
+
+
+def _empty_files(store, place) -> Iterator[str]:
+    """Names of the empty files of a folder. A local one is listed here; of others each file is three calls to the JVM."""
+    if place.toUri().getScheme() == "file":
+        with os.scandir(place.toUri().getPath()) as listed:
+            yield from (f.name for f in listed if f.is_file() and not f.stat().st_size)
+        return
+    listed = store.listStatusIterator(place)
+    while listed.hasNext():
+        file = listed.next()
+        if not file.getLen() and file.isFile():
+            yield file.getPath().getName()
 
 
 def from_parquet(spark: SparkSession, path: str) -> DataFrame:
